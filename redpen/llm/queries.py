@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import bpe, chat, decontaminate, html, licenses, quality, simhash, toxicity, warc
+from redpen.llm import bpe, chat, decontaminate, html, licenses, quality, simhash, suffixes, toxicity, warc
 from redpen.llm.base import table
 
 #: Where vocabulary files lie unless the public package says otherwise.
@@ -38,6 +38,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,7 +68,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_chat_formatting, op3_warc, op5_quality_rules, op6_toxicity, op7_license_scan, op8_benchmark_decontamination, op9_bpe, op10_simhash_near_dedup)
+    for f in (op1_html_extraction, op2_chat_formatting, op3_warc, op4_suffix_array_dedup, op5_quality_rules, op6_toxicity, op7_license_scan, op8_benchmark_decontamination, op9_bpe, op10_simhash_near_dedup)
 }
 
 #: None of these can be stated in SQL (see the tests, which hold each against a brute-force version).

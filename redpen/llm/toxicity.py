@@ -82,7 +82,7 @@ def char_model(docs: DataFrame) -> np.ndarray:
 class Restorer:
     """Viterbi decoding of single strings; costs are negative log probabilities."""
 
-    SIGN, DROP, SKIP, KEEP, EDGE, ONCE, TWICE = 1.0, 5.0, 1.5, 4.0, 0.5, 1.0, 1.5
+    SIGN, DROP, SKIP, KEEP, EDGE, ONCE, TWICE = 1.0, 8.0, 1.5, 5.0, 0.5, 1.0, 1.5
 
     def __init__(self, costs: np.ndarray):
         self.costs, self.held = costs.tolist(), {}
@@ -100,7 +100,7 @@ class Restorer:
         out = [(i + 1, x, self.SIGN) for x in LEET.get(ch, "")]
         inner = 0 < i < len(text) - 1
         if ch in LEET:
-            out += [(i + 1, "", self.DROP if inner else self.EDGE), (i + 1, " ", self.KEEP)]
+            out += [(i + 1, "", self.DROP if inner or ch.isdigit() else self.EDGE), (i + 1, " ", self.KEEP)]
         elif ch in SEPARATORS:
             out += [(i + 1, "", self.SKIP if inner else self.EDGE), (i + 1, " ", 0.0)]
         else:
