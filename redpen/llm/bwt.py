@@ -10,31 +10,40 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Levels that are expanded over all ranks at once, and steps after which a level goes over to that.
-_DENSE_LEVELS, _STEPS = 8, 48
+#: First levels, which are expanded over all ranks at once, and steps after which an interval counts as long.
+_DENSE_LEVELS, _STEPS = 8, 12
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` symbols or more (cyclic).
 
-    symbols: uint16. Prefix doubling from four symbols on; ties beyond the depth keep any order.
+    Prefix doubling: suffixes in order of their second half are put in order of their first half by a stable
+    sort of 16-bit digits. Ties beyond the depth keep any order.
     """
     n = len(symbols)
+    used, dense = np.unique(symbols, return_inverse=True)
+    bits = max(1, int(len(used) - 1).bit_length())
+    width = 64 // bits
     key = np.zeros(n, np.uint64)
-    for k in range(4):
-        key = (key << np.uint64(16)) | np.roll(symbols, -k).astype(np.uint64)
-    width = 4
+    for k in range(width):
+        key = (key << np.uint64(bits)) | np.roll(dense, -k).astype(np.uint64)
+    order = np.argsort(key)
     while True:
-        order = np.argsort(key)
         ordered = key[order]
         new = np.empty(n, bool)
         new[0], new[1:] = False, ordered[1:] != ordered[:-1]
         ranks = np.cumsum(new)
         if width >= depth or ranks[-1] == n - 1:
             return order
-        rank = np.empty(n, np.uint64)
+        rank = np.empty(n, np.int64)
         rank[order] = ranks
-        key = rank * np.uint64(n) + np.roll(rank, -width)
+        order = (order - width) % n
+        first = rank[order]
+        by = np.argsort((first & 0xFFFF).astype(np.uint16), kind="stable")
+        if n > 1 << 16:
+            by = by[np.argsort((first[by] >> 16).astype(np.uint16), kind="stable")]
+        order = order[by]
+        key = rank * n + np.roll(rank, -width)
         width *= 2
 
 
@@ -50,7 +59,8 @@ def boundaries(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     same = before[by_symbol][1:] == before[by_symbol][:-1]
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
 
-    known = np.zeros(n + 1, bool)
+    marks = bytearray(n + 1)
+    known = np.frombuffer(marks, bool)  # the same bytes, to be searched from the right as well
     first = symbols[order]
     known[0] = known[n] = True
     known[1:n] = first[1:] != first[:-1]
@@ -58,9 +68,7 @@ def boundaries(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     for level in range(length - 1):
         if not len(fresh):
             break
-        found = None if level < _DENSE_LEVELS else _stepwise(fresh, known, following)
-        if found is None:
-            found = _dense(fresh, known, following)
+        found = _dense(fresh, known, following) if level < _DENSE_LEVELS else _stepwise(fresh, known, marks, following)
         target = to[found] + 1
         target = target[~known[target]]
         fresh = np.unique(target)
@@ -78,8 +86,8 @@ def _dense(fresh: np.ndarray, known: np.ndarray, following: np.ndarray) -> np.nd
     return np.flatnonzero((following >= end) & is_fresh[end])
 
 
-def _stepwise(fresh: np.ndarray, known: np.ndarray, following: np.ndarray) -> np.ndarray | None:
-    """The same by walking left from each fresh place; None if an interval is long."""
+def _stepwise(fresh: np.ndarray, known: np.ndarray, marks: bytearray, following: np.ndarray) -> np.ndarray:
+    """The same by walking left from each fresh place; a longer interval's begin is looked up and all its ranks are taken."""
     out, rank, end = [], fresh - 1, fresh
     for _ in range(_STEPS):
         out.append(rank[following[rank] >= end])
@@ -87,7 +95,11 @@ def _stepwise(fresh: np.ndarray, known: np.ndarray, following: np.ndarray) -> np
         rank, end = rank[inside] - 1, end[inside]
         if not len(rank):
             return np.concatenate(out)
-    return None
+    begin = np.array([marks.rfind(1, 0, r + 1) for r in rank.tolist()], np.int64)
+    size = rank - begin + 1
+    every = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    out.append(every[following[every] >= np.repeat(end, size)])
+    return np.concatenate(out)
 
 
 def repeated_starts(texts: list[bytes], weights: np.ndarray, length: int) -> list[np.ndarray]:

@@ -28,6 +28,8 @@ from redpen.llm.windows import Runs
 LENGTH, GRAM = 400, 160
 #: Different runs of one minimizer up to which they are compared as texts in one task.
 COMPARED = 2_000
+#: Bytes of runs that are transformed at once.
+_COMPARED_BYTES = 640 << 10
 #: Longer texts are looked through in parts that overlap by a window.
 _PART = 8 << 20
 
@@ -94,7 +96,7 @@ def compared(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for batch in batches:
             for k, b, w, t in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "weight", "bytes")), strict=True):
-                if size > PIECE_BYTES and k != key[-1]:  # runs of one minimizer stay together
+                if size > _COMPARED_BYTES and k != key[-1]:  # runs of one minimizer stay together
                     yield flush()
                     key, body, weight, text, size = [], [], [], [], 0
                 key.append(k)
