@@ -147,7 +147,8 @@ def _by_windows(texts: DataFrame, length: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = COMPARED) -> DataFrame:
     """(row, first, spans): runs with repeated windows; spans are [a, b) window starts after the run's first."""
     every = written(runs(docs, length, gram), "runs")
-    twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # as a table of its own, so that the join deals both sides itself and can split a frequent key
+    twice = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
     shared = written(every.join(twice, "key", "left_semi"), "shared")
 
     one = F.min(F.struct("row", "first", "count", "at")).alias("one")
