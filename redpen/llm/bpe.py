@@ -255,6 +255,7 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon, self.held = vocabulary, lexicon, {}
+        self.tokens = [vocabulary.token.get(i, "") for i in range(max(vocabulary.token) + 1)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -274,7 +275,19 @@ class Coder:
 
     def decode(self, ids: bytes) -> str:
         """The token strings joined by spaces (the tokenizer has no decoder of its own)."""
-        return " ".join(map(self.vocabulary.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+_HELD_CODERS: dict[tuple[int, str], Coder] = {}
+
+
+def _coder(tokenizer_json: str, name: str) -> Coder:
+    """The worker's coder: tasks that follow in one worker use its vocabulary and known strings again."""
+    key = (hash(tokenizer_json), name)
+    if key not in _HELD_CODERS:
+        _HELD_CODERS.clear()
+        _HELD_CODERS[key] = Coder(Vocabulary(tokenizer_json), Lexicon(SparkFiles.get(name)))
+    return _HELD_CODERS[key]
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, size: int = LEXICON, keep: bool = False) -> DataFrame:
@@ -289,7 +302,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, size: int = LEXICON, kee
     name = share_lexicon(docs, tokenizer_json, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(tokenizer_json), Lexicon(SparkFiles.get(name)))
+        from redpen.llm.bpe import _coder  # the module's own, which outlives the task
+
+        coder = _coder(tokenizer_json, name)
         for batch in batches:
             out: list[tuple] = []
             for ids in coder.encode_all([t or "" for t in batch.column("text").to_pylist()]):
