@@ -287,7 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = MAX_
                 x = model.summary(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(texts)]), *(pa.array(x[:, k]) for k in range(4))], ["y", "a", "b", "c", "d"])
 
-    xy = np.array(sample.mapInArrow(summarise, "y double, a double, b double, c double, d double").orderBy("y", "b", "c", "d").collect())
+    xy = np.array(sample.mapInArrow(summarise, "y double, a double, b double, c double, d double").collect())
+    xy = xy[np.lexsort(xy.T)]  # at most `bound` rows; in one order, so that sums don't depend on how they came
     model.beta = _logistic(xy[:, 1:], xy[:, 0])
     return model
 
