@@ -28,6 +28,8 @@ LEAST_TOXIC, LEAST_RATIO, LEAST_Z = 4, 4.0, 4.0
 TOXIC_FROM = 0.7
 #: Bytes of a word's beginnings that are features beside the word.
 STEMS = (4, 5, 6, 7)
+#: Numbers that sum up a text for the logistic function (see Model.summary).
+SUMMARY = 6
 
 # Letters that a sign may stand for.
 LEET = {
@@ -172,8 +174,8 @@ class Restorer:
 _PLAIN = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
 
-def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Text and hash of each word and word beginning."""
+def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and hash of each word and word beginning; the words of each text."""
     words = Words([t.translate(_PLAIN) for t in texts])
     prefix = Prefix(words.buf)
     doc, key = [words.doc], [prefix.of(words.start, words.end)]
@@ -181,7 +183,7 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         long = words.end - words.start >= n
         doc.append(words.doc[long])
         key.append(mix(prefix.of(words.start[long], words.start[long] + n) + U64(n)))
-    return np.concatenate(doc), np.concatenate(key)
+    return np.concatenate(doc), np.concatenate(key), words.count
 
 
 def _restored(batch: pa.RecordBatch, restorer: Restorer) -> Iterator[tuple[int, list[bytes]]]:
@@ -218,20 +220,24 @@ class Model:
         self.seen[(keys & U64((1 << 20) - 1)).astype(np.int64)] = True
 
     def summary(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text: 1, greatest weight, sum of the weights of its distinct features, that sum for each log of its words."""
-        doc, key = _features(texts)
-        out = np.zeros((len(texts), 4))
+        """Of each text: 1, greatest weight, sum of the weights of its distinct features, that sum for each log of its words,
+        sum of the weights of all its features, and that sum for each 100 of its words: many weak signs in a short text tell more."""
+        doc, key, n_words = _features(texts)
+        out = np.zeros((len(texts), SUMMARY))
         out[:, 0] = 1
         if not len(self.keys):
             return out
         maybe = np.flatnonzero(self.seen[(key & U64((1 << 20) - 1)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
         hit = self.keys[place] == key[maybe]
-        pairs = np.unique(np.stack([doc[maybe[hit]], place[hit]]), axis=1)
+        doc, place = doc[maybe[hit]], place[hit]
+        pairs = np.unique(np.stack([doc, place]), axis=1)
         w = self.weights[pairs[1]]
         np.maximum.at(out[:, 1], pairs[0], w)
         out[:, 2] = np.log1p(np.bincount(pairs[0], weights=w, minlength=len(texts)))
-        out[:, 3] = out[:, 2] / np.log1p(np.bincount(doc, minlength=len(texts)) + 2.0)
+        out[:, 3] = out[:, 2] / np.log1p(n_words + 2.0)
+        every = np.bincount(doc, weights=self.weights[place], minlength=len(texts))
+        out[:, 4], out[:, 5] = np.log1p(every), np.log1p(100 * every / (n_words + 20.0))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -239,11 +245,11 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    beta = np.zeros(x.shape[1])
+    beta, penalty = np.zeros(x.shape[1]), ridge * len(y) * np.append(0, np.full(x.shape[1] - 1, 0.01))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(x.shape[1]) * np.array([0, 0.01, 0.01, 0.01])
-        beta = beta + np.linalg.solve(h + 1e-9 * np.eye(len(beta)), x.T @ (y - p) - ridge * len(y) * beta * np.array([0, 0.01, 0.01, 0.01]))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        beta = beta + np.linalg.solve(h + 1e-9 * np.eye(len(beta)), x.T @ (y - p) - penalty * beta)
     return beta
 
 
@@ -258,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = MAX_
         for batch in batches:
             toxic = np.array(batch.column("toxic").to_pylist(), np.int64)
             for at, texts in _restored(batch, restorer):
-                doc, key = _features(texts)
+                doc, key, _ = _features(texts)
                 order = np.lexsort((doc, key))
                 doc, key = doc[order], key[order]
                 new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
@@ -271,13 +277,15 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = MAX_
     bad_n, good_n = totals.get(1, 0), totals.get(0, 0)
     if not bad_n or not good_n:
         rate = bad_n / max(bad_n + good_n, 1)
-        return Model(np.zeros(0, U64), np.zeros(0), np.array([np.log((rate + 1e-6) / (1 - rate + 1e-6)), 0, 0, 0]))
+        return Model(np.zeros(0, U64), np.zeros(0), np.append(np.log((rate + 1e-6) / (1 - rate + 1e-6)), np.zeros(SUMMARY - 1)))
     counts = sample.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = ((F.col("bad") + 0.5) / bad_n) / ((F.col("good") + 0.5) / good_n)
     z = F.log(ratio) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     told = counts.filter((F.col("bad") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z)).select("feature", F.log(ratio).alias("w"), z.alias("z"))
     rows = told.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
-    model = Model(np.array([r["feature"] for r in rows], np.int64).view(U64), np.array([r["w"] for r in rows]), np.zeros(4))
+    model = Model(np.array([r["feature"] for r in rows], np.int64).view(U64), np.array([r["w"] for r in rows]), np.zeros(SUMMARY))
+
+    names = [f"x{k}" for k in range(SUMMARY)]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(costs)
@@ -285,9 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = MAX_
             toxic = np.array(batch.column("toxic").to_pylist(), np.float64)
             for at, texts in _restored(batch, restorer):
                 x = model.summary(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(texts)]), *(pa.array(x[:, k]) for k in range(4))], ["y", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[at : at + len(texts)]), *(pa.array(x[:, k]) for k in range(SUMMARY))], ["y", *names])
 
-    xy = np.array(sample.mapInArrow(summarise, "y double, a double, b double, c double, d double").collect())
+    xy = np.array(sample.mapInArrow(summarise, ", ".join(f"{c} double" for c in ("y", *names))).collect())
     xy = xy[np.lexsort(xy.T)]  # at most `bound` rows; in one order, so that sums don't depend on how they came
     model.beta = _logistic(xy[:, 1:], xy[:, 0])
     return model
