@@ -1,6 +1,9 @@
 """A training corpus from documents: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens.
 
 Every stage takes what the one before kept (columns of documents) and its decisions take effect there.
+Nulls in lang, source and n_chars pass through; a null text counts as empty, which the quality rules reject;
+rows without doc_id can't be decided on and go in the first two stages; rows that repeat a doc_id stay if one
+of them is kept; further columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -328,3 +328,25 @@ def test_pipeline_stages(spark):
     leaks = {r[0] for r in decontaminate.contaminated(short, bench).select("doc_id").collect()}
     assert {r[0] for r in clean.select("doc_id").collect()} == {r[0] for r in short.select("doc_id").collect()} - leaks
     assert p.bpe_encoding(spark, clean, folder).count() == clean.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    import corpus_pipeline as p
+
+    # the labels describe the given documents, so a trusted one keeps its id here and the odd ones get ids without a label
+    good = spark.read.parquet(f"{data}/documents.parquet").join(spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1"), "doc_id")
+    one, clean = tuple(good.filter(F.size(F.split("text", " ")) > 100).orderBy("doc_id").select("doc_id", "text").first())
+    rows = [(1_000_000 + i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, clean, "en", "s", 1), (one, clean, None, "s", None), (one, clean, None, "s", None), (2_000_000, clean + " end", "en", None, 5)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("fp", "row", "kept", "spans", "component_id", "key")})
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect() if r["doc_id"] is not None)
+    assert ids(p.quality_rules(spark, docs, data)) == [one, one, 2_000_000]
+    single = p.simhash_near_dedup(spark, docs, data)
+    assert single.columns == p.COLUMNS and ids(single).count(one) == 2 and 1_000_006 in ids(single) and 1_000_007 not in ids(single)
+    near = bin(_fingerprint(clean) ^ _fingerprint(clean + " end")).count("1") <= simhash.MAX_BITS
+    assert (2_000_000 in ids(single)) == (not near)
+    short = p.suffix_array_dedup(spark, docs, data)
+    assert short.count() == len(rows) and short.columns == p.COLUMNS
+    assert len(ids(p.benchmark_decontamination(spark, docs, data))) == len(rows) - 1
+    assert p.bpe_encoding(spark, docs, data).count() == len(rows)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), data).count() == 0
