@@ -2,12 +2,13 @@
 
 Windows of LENGTH bytes are dealt to tasks so that equal ones meet: each has a minimizer (see
 windows.py), and consecutive windows with one minimizer travel as a run. Runs whose minimizer occurs
-once hold no repeat. Equal runs are counted first, so copies cost one row, not one text. Runs that
-share a minimizer but differ are compared as texts: a Burrows-Wheeler transform over the distinct
-runs of many minimizers, expanded breadth-first up to LENGTH (see bwt.py).
+once hold no repeat. Equal runs travel as one, with their number as weight. All others are decided by
+a Burrows-Wheeler transform over the distinct runs of many minimizers, expanded breadth-first up to
+LENGTH (see bwt.py).
 
-Where very many different runs share a minimizer (a passage in very many documents), their windows
-are grouped by 128-bit hashes instead, which splits such a bucket and is exact as well.
+Where many different runs share a minimizer (the edges of a passage in very many documents), they are
+dealt again, window by window, by a finer key: a hash of the whole window. What stands once under
+that key holds no repeat; of the rest one copy, with its weight, goes through the same transform.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from redpen.llm.textvec import U64, Prefix, mix
 from redpen.llm.windows import Runs
 
 LENGTH, GRAM = 400, 160
-#: Different runs of one minimizer up to which they are compared as texts in one task.
-COMPARED = 2_000
+#: Different runs of one minimizer beyond which they are dealt again by a finer key, so that no task gets more of them.
+DEALT = 256
 #: Bytes of runs that are transformed at once.
 _COMPARED_BYTES = 640 << 10
 #: Longer texts are looked through in parts that overlap by a window.
@@ -126,25 +127,36 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.select("row", "text").join(lists, "row").select("text", "wanted").mapInArrow(cut, "key long, body long, weight long, bytes binary")
 
 
-def _by_windows(texts: DataFrame, length: int) -> DataFrame:
-    """(key, body, spans) as compared() gives, by grouping the windows of the runs by hash."""
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """One row for each window of each run: the run, the window's start in it and its hash as a pair."""
+    for batch in batches:
+        for k, b, w, t in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "weight", "bytes")), strict=True):
+            raw = np.frombuffer(t, np.uint8)
+            at = np.arange(len(raw) - length + 1)
+            one, two = Prefix(raw).of(at, at + length), Prefix(raw[::-1]).of(len(raw) - at - length, len(raw) - at)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, b)), pa.array(np.full(n, w)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["key", "body", "weight", "a", "one", "two"])
+
+
+def _cut_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The windows that are asked for (a run's `wanted`), as rows for compared() under their finer keys."""
+    for batch in batches:
+        out = [(w["one"], w["two"], w["n"], t[w["a"] : w["a"] + length]) for t, want in zip(batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist(), strict=True) for w in want]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "body", "weight", "bytes"])
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, b, w, t in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "weight", "bytes")), strict=True):
-                raw = np.frombuffer(t, np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                one, two = Prefix(raw).of(at, at + length), Prefix(raw[::-1]).of(len(raw) - at - length, len(raw) - at)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, b)), pa.array(np.full(n, w)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["key", "body", "weight", "a", "one", "two"])
 
-    windows = written(texts.mapInArrow(hashes, "key long, body long, weight long, a int, one long, two long"), "hot")
-    twice = windows.groupBy("one", "two").agg(F.sum("weight").alias("n")).filter("n > 1").select("one", "two")
-    hit = windows.join(twice, ["one", "two"], "left_semi")
-    return hit.groupBy("key", "body").agg(F.transform(F.collect_list("a"), lambda a: F.struct(a.alias("a"), (a + 1).alias("b"))).alias("spans"))
+def compared_finer(texts: DataFrame, length: int) -> DataFrame:
+    """(key, body, spans) as compared() gives, for runs of minimizers with too many different ones."""
+    windows = written(texts.mapInArrow(lambda x: _windows(x, length), "key long, body long, weight long, a int, one long, two long"), "windows")
+    stands = windows.groupBy("one", "two").agg(F.sum("weight").alias("n"), F.min(F.struct("key", "body", "a")).alias("where")).filter("n > 1")
+    wanted = stands.groupBy("where.key", "where.body").agg(F.collect_list(F.struct("one", "two", "n", "where.a")).alias("wanted"))  # a run has few windows
+    copies = texts.select("key", "body", "bytes").join(wanted, ["key", "body"]).select("bytes", "wanted").mapInArrow(lambda x: _cut_windows(x, length), "key long, body long, weight long, bytes binary")
+    found = compared(copies, length).select(F.col("key").alias("one"), F.col("body").alias("two"))
+    return windows.join(found, ["one", "two"], "left_semi").groupBy("key", "body").agg(F.transform(F.collect_list("a"), lambda a: F.struct(a.alias("a"), (a + 1).alias("b"))).alias("spans"))
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = COMPARED) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = DEALT) -> DataFrame:
     """(row, first, spans): runs with repeated windows; spans are [a, b) window starts after the run's first."""
     every = written(runs(docs, length, gram), "runs")
     # as a table of its own, so that the join deals both sides itself and can split a frequent key
@@ -154,19 +166,14 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     one = F.min(F.struct("row", "first", "count", "at")).alias("one")
     contexts = shared.groupBy("key", "body").agg(F.count("*").alias("weight"), one)
     contexts = written(contexts.select("key", "body", "weight", "one.*"), "contexts")
-    kinds = written(contexts.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    known = contexts.join(kinds, "key", "left")
-
-    alone = known.filter("kinds is null").select("key", "body", F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b"))).alias("spans"))
-    texts = _fetch(docs, known.filter(F.col("kinds") <= most), length)
-    verdict = alone.unionByName(compared(texts, length))
-    if kinds.filter(F.col("kinds") > most).limit(1).count():
-        hot = written(_fetch(docs, known.filter(F.col("kinds") > most), length), "hot-texts")
-        verdict = verdict.unionByName(_by_windows(hot, length))
+    many = written(contexts.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("key"), "many")
+    verdict = compared(_fetch(docs, contexts.join(many, "key", "left_anti"), length), length)
+    if many.limit(1).count():
+        verdict = verdict.unionByName(compared_finer(written(_fetch(docs, contexts.join(many, "key", "left_semi"), length), "many-texts"), length))
     return shared.join(written(verdict, "verdict"), ["key", "body"]).select("row", "first", "spans")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = COMPARED, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = DEALT, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs, and its columns named in carry.
 
     With keep also kept (binary), kept_text (without the bytes of characters that were cut) and spans.
