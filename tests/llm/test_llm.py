@@ -330,6 +330,26 @@ def test_pipeline_stages(spark):
     assert p.bpe_encoding(spark, clean, folder).count() == clean.count()
 
 
+def test_pipeline_removes_passages_and_spares_the_rest(spark):
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.01"
+    docs = p.quality_rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).cache()
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r["text"] for r in p.suffix_array_dedup(spark, docs, folder).collect()}
+    windows = lambda t: {tuple(w[k : k + 51]) for w in [t.split()] for k in range(len(w) - 50)}
+    stands = collections.Counter(w for t in before.values() for w in windows(t))
+    shared = {w for w, n in stands.items() if n > 1}
+    left = collections.Counter(w for t in after.values() for w in windows(t))
+    assert len(shared) > 1000 and not shared & set(left)
+    # brute force at the stage's length: what has no repeated string of that length stays as it is
+    ids = list(before)
+    want = _repeats([before[i].encode() for i in ids], p.PASSAGE_BYTES)
+    for i, w in zip(ids, want, strict=True):
+        cut = len(before[i].encode()) - len(after[i].encode()) - w[1]  # a character that loses a byte goes as a whole
+        assert 0 <= cut <= 6 * w[2] and (w[1] > 0 or before[i] == after[i])
+
+
 def test_pipeline_stages_on_odd_rows(spark, data):
     import corpus_pipeline as p
 
@@ -339,14 +359,16 @@ def test_pipeline_stages_on_odd_rows(spark, data):
     rows = [(1_000_000 + i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, clean, "en", "s", 1), (one, clean, None, "s", None), (one, clean, None, "s", None), (2_000_000, clean + " end", "en", None, 5)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("fp", "row", "kept", "spans", "component_id", "key")})
     ids = lambda df: sorted(r["doc_id"] for r in df.collect() if r["doc_id"] is not None)
-    assert ids(p.quality_rules(spark, docs, data)) == [one, one, 2_000_000]
+    good_rows = p.quality_rules(spark, docs, data)
+    assert ids(good_rows) == [one, one, 2_000_000] and good_rows.count() == 4
     single = p.simhash_near_dedup(spark, docs, data)
-    assert single.columns == p.COLUMNS and ids(single).count(one) == 2 and 1_000_006 in ids(single) and 1_000_007 not in ids(single)
+    # of equal texts the row without doc_id comes first
+    assert single.columns == p.COLUMNS and one not in ids(single) and single.filter("doc_id is null").count() == 1 and 1_000_006 in ids(single) and 1_000_007 not in ids(single)
     near = bin(_fingerprint(clean) ^ _fingerprint(clean + " end")).count("1") <= simhash.MAX_BITS
     assert (2_000_000 in ids(single)) == (not near)
     short = p.suffix_array_dedup(spark, docs, data)
     assert short.count() == len(rows) and short.columns == p.COLUMNS
-    assert len(ids(p.benchmark_decontamination(spark, docs, data))) == len(rows) - 1
+    assert p.benchmark_decontamination(spark, docs, data).count() == len(rows)
     assert p.bpe_encoding(spark, docs, data).count() == len(rows)
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), data).count() == 0
