@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import bpe, chat, decontaminate, html, licenses, quality, simhash, suffixes, toxicity, warc
+from redpen.llm import bpe, chat, decontaminate, html, licenses, oracles, quality, simhash, suffixes, toxicity, warc
 from redpen.llm.base import table
 
 #: Where vocabulary files lie unless the public package says otherwise.
@@ -71,5 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_extraction, op2_chat_formatting, op3_warc, op4_suffix_array_dedup, op5_quality_rules, op6_toxicity, op7_license_scan, op8_benchmark_decontamination, op9_bpe, op10_simhash_near_dedup)
 }
 
-#: None of these can be stated in SQL (see the tests, which hold each against a brute-force version).
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators can't be stated in SQL (see the tests, which hold each against a brute-force version).
+ORACLE_SQL: dict[str, str] = oracles.SQL
