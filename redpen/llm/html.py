@@ -1,14 +1,22 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed; Spark counts on how many different pages of a host each subtree
-stands, and subtrees that recur on many of them are deleted together with what is never article text
-(menus, forms, scripts, ...). Paragraphs and headings that stand in an article's flow are its text
-and stay, however often a site repeats them.
+Every element's subtree is hashed; Spark counts how often it recurs on the pages of its host, and the
+recurring ones are deleted. Two counts decide:
+
+- Outside the flow of an article, a subtree on LEAST_PAGES different pages or more belongs to the site.
+- Inside it, it takes LEAST_SHARE of all the host's pages as well.
+
+Pages are told apart by a MinHash of their longest block, so copies and near copies of a page count
+as one, and what they have in common is not taken for the site's, however many copies there are.
+
+Lists of element kinds and class words assist: they delete what never is article text (menus, forms,
+scripts, ...) and differs from page to page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -19,69 +27,120 @@ from pyspark.sql import functions as F
 
 from redpen.llm.base import BROADCAST_ROWS, small_batches, written
 
-#: A subtree belongs to the site's template if it stands on at least so many different pages of a host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 4, 0.25
+#: Different pages, and inside an article's flow also the share of the host's pages, from which a subtree belongs to the site.
+LEAST_PAGES, LEAST_SHARE = 4, 0.5
+#: Elements open at once; deeper ones are taken as flat (their text stays), as browsers do.
+DEPTH = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile("[\"'>]")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_NAME = re.compile(r"[a-z]+|\d+")
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 # Fixed values of HTML: element kinds.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript head template nav footer aside form button select option input svg canvas dialog menu object audio video map".split())
+_NEVER = frozenset("script style textarea title xmp iframe noembed noframes noscript head template nav footer aside button select option input svg canvas dialog menu object audio video map".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt li td th tr tbody thead table ul ol dl figure figcaption".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 _LISTS = frozenset("ul ol dl table select".split())
 
-# Words in class, id or role that mark what isn't article text.
+# Words in class, id or role that mark what isn't article text, and words that may stand beside them in a name.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar widget widgets nav navbar navigation menu submenu breadcrumb breadcrumbs "
     "footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription comment comments commentlist respond disqus reply replies "
     "share sharing social related recommended recommendations login signup search searchform pagination pager copyright complementary contentinfo dialog".split()
 )
 _COMMENT_MARKS = frozenset("comment comments commentlist respond disqus reply replies".split())
+_BESIDE = frozenset(
+    "box block blocks wrap wrapper container area region section list bar item items inner outer top bottom left right upper lower main site page post posts entry article articles header head "
+    "links link button buttons slot unit form panel column col row group holder primary secondary global mobile desktop sticky fixed small large media icons icon by the of js my".split()
+)
+_PAGE = frozenset("html body article main".split())
+
+
+def _marked(names: str, marks: frozenset) -> bool:
+    """Whether one of the names is made of mark words, and of words beside them (`cookie-notice`, `siteFooter`, but not `ad-free` or `text-menu`)."""
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if parts and any(p in marks for p in parts) and (parts[0] in marks or parts[-1] in marks) and all(p in _MARKS or p in _BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 class Page:
-    """One parsed page: pieces of text (None is a block's end) and its elements in the order of their closing."""
+    """One parsed page: pieces of text (None is a block's end) and its elements in the order of their closing.
+
+    Parsing takes time in proportion to the page, whatever its markup is like: no place is looked at again
+    for every tag, and at most DEPTH elements are open."""
 
     def __init__(self, html: str):
         self.pieces: list[str | None] = []
-        #: (first piece, end piece, subtree hash, tag, is never article text, stands in an article's flow)
+        #: (first piece, end piece, subtree hash, tag, is never article text, stands in an article)
         self.elements: list[tuple[int, int, int, str, bool, bool]] = []
+        self._longest = ""
         self._open: list[list] = []
-        self._articles = 0
+        self._named: Counter = Counter()  # open elements by tag
+        self._inline: list[Counter] = [Counter()]  # open inline elements by tag, for each open block
+        self._deep: Counter = Counter()
+        self._articles = self._heads = self._nevers = 0
         self._parse(html)
         while self._open:
             self._close()
+        self.has_article = any(tag in ("article", "main") and not never for _, _, _, tag, never, _ in self.elements)
 
     def _parse(self, html: str) -> None:
-        at, n = 0, len(html)
+        at, n, last, quoting = 0, len(html), html.rfind(">"), True
+        ends = {q: html.rfind(q) for q in "\"'"}
         while at < n:
-            m = _TOKEN.search(html, at)
-            if not m:
-                self._text(html[at:])
+            start = html.find("<", at)
+            if start < 0:
+                start = n
+            if start > at:
+                self._text(html[at:start])
+            if start == n:
                 return
-            if m.start() > at:
-                self._text(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            if html.startswith("<!--", start):
+                stop = html.find("-->", start + 2)
+                at = n if stop < 0 else stop + 3
                 continue
-            if m[1] or m[4]:
-                self._end(tag)
+            close = html.startswith("/", start + 1)
+            name = _TAG_NAME.match(html, start + 1 + close)
+            if start > last or not (name or html[start + 1 : start + 2] in ("!", "?", "/")):
+                self._text("<")  # no tag
+                at = start + 1
                 continue
-            attrs = m[3] or m[6] or ""
-            self._start(tag, attrs)
+            if not name or close:
+                at = html.find(">", start) + 1
+                if name:
+                    self._end(name[0].lower())
+                continue
+            stop = name.end()
+            while quoting:
+                m = _TAG_STOP.search(html, stop)
+                if not m or (m[0] != ">" and ends[m[0]] <= m.start()):
+                    quoting = False  # all that follows stands in quotes: from here on a tag ends at its first bracket
+                elif m[0] == ">":
+                    stop = m.start()
+                    break
+                else:
+                    stop = m.end() if html[m.start() - 1] not in "= \t\r\n\f" else html.find(m[0], m.end()) + 1
+            if not quoting:
+                stop = html.find(">", name.end())
+            tag, at = name[0].lower(), stop + 1
+            self._start(tag, html[name.end() : stop])
             if tag in _RAW and self._open and self._open[-1][0] == tag:
-                stop = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
                 if tag not in _NEVER:
-                    self._text(html[at : stop.start() if stop else n])
-                at = stop.start() if stop else n
+                    self._text(html[at : end.start() if end else n])
+                at = end.start() if end else n
 
     def _text(self, text: str) -> None:
         if self._open:
@@ -100,32 +159,44 @@ class Page:
             self.pieces.append(" ")
         if tag in _VOID:
             return
+        if len(self._open) >= DEPTH:
+            self._deep[tag] += 1
+            return
         known = {k.lower(): next((x for x in v if x), "") for k, *v in _ATTR.findall(attrs)} if attrs.strip() else {}
-        name = known.get("class", "")
         never = tag in _NEVER or "hidden" in known or known.get("aria-hidden") == "true" or bool(_HIDDEN_STYLE.search(known.get("style", "")))
         if tag == "header" and not self._articles:
             never = True
-        if not never and tag not in ("html", "body", "main"):
-            marks = set(_NAME.findall(f"{name} {known.get('id', '')} {known.get('role', '')}".lower()))
-            never = bool(marks & (_COMMENT_MARKS if tag == "article" else _MARKS))
-        main = tag == "article" or tag == "main" or known.get("role") == "main"
-        self._open.append([tag, len(self.pieces), never, [], name, main, bool(self._articles) and tag in _FLOW])
+        # a form and what a name marks go unless they hold the page's article or title
+        soft = tag == "form" or (not never and tag not in ("html", "body", "main") and _marked(" ".join(known.get(k, "") for k in ("class", "id", "role")), _COMMENT_MARKS if tag == "article" else _MARKS))
+        main = (tag == "article" or tag == "main" or known.get("role") == "main") and not soft
+        self._heads += main or tag == "h1"
+        self._open.append([tag, len(self.pieces), never, [], main, soft, self._heads - (main or tag == "h1"), bool(self._articles)])
         self._articles += main
+        self._nevers += never or soft
+        self._named[tag] += 1
+        if tag in _INLINE:
+            self._inline[-1][tag] += 1
+        else:
+            self._inline.append(Counter())
 
     def _end(self, tag: str) -> None:
         """Close the innermost open element of this name; an inline one doesn't reach out of its block."""
-        if tag in ("br", "p") and not any(e[0] == tag for e in self._open):
-            self.pieces.append(None if tag == "p" else " ")
+        if self._deep[tag]:
+            self._deep[tag] -= 1
+            if tag not in _INLINE:
+                self.pieces.append(None)
             return
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] == tag:
-                while len(self._open) > k:
-                    self._close()
-                return
-            if tag in _INLINE and self._open[k][0] not in _INLINE:
-                return
+        if not (self._inline[-1] if tag in _INLINE else self._named)[tag]:
+            if tag in ("br", "p"):
+                self.pieces.append(None if tag == "p" else " ")
+            return
+        while self._open[-1][0] != tag:
+            self._close()
+        self._close()
 
     def _end_within(self, tag: str, walls: frozenset | set) -> None:
+        if not self._named[tag]:
+            return
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] == tag:
                 while len(self._open) > k:
@@ -135,29 +206,58 @@ class Page:
                 return
 
     def _close(self) -> None:
-        tag, first, never, parts, name, main, flow = self._open.pop()
+        tag, first, never, parts, main, soft, heads, inside = self._open.pop()
+        self._named[tag] -= 1
         self._articles -= main
-        if tag not in _INLINE:
+        self._nevers -= never or soft
+        if tag in _INLINE:
+            self._inline[-1][tag] -= 1
+        else:
+            self._inline.pop()
             self.pieces.append(None)
-        digest = blake2b("\x00".join([tag, name, *parts]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        value = int.from_bytes(digest, "big", signed=True) if any(parts) else 0
-        self.elements.append((first, len(self.pieces), value, tag if not main else "article" if tag == "article" else "main", never, flow))
+        never = never or (soft and self._heads == heads)
+        value = _digest("\x00".join([tag, *parts])) if any(parts) else 0  # names vary (`active`)
+        self.elements.append((first, len(self.pieces), value, "main" if main and tag != "article" else tag, never, inside))
         if self._open and value:
             self._open[-1][3].append(f"\x01{value}")
+        if tag not in _INLINE and not never and not self._nevers:
+            own = " ".join([p for p in parts if p and p[0] != "\x01"])
+            if len(own) > len(self._longest):
+                self._longest = own
+
+    def _recurring(self) -> Iterator[tuple[int, int, int, bool]]:
+        """(first piece, end piece, subtree, stands in a flow) of what can belong to a template: blocks with text, but not page roots. Where a page
+        has no article, all that isn't marked is its flow."""
+        for first, end, h, tag, never, inside in self.elements:
+            if h and tag not in _PAGE and tag not in _INLINE:
+                flow = not never and (inside or not self.has_article)
+                yield first, end, h, flow
 
     def subtrees(self) -> set[int]:
-        """Hashes of the subtrees that can belong to a template: all with text but page roots and what stands in an article's flow."""
-        return {h for _, _, h, tag, _, flow in self.elements if h and not flow and tag not in ("html", "body", "article", "main", *_INLINE)}
+        return {h for _, _, h, _ in self._recurring()}
 
-    def text(self, template: set[int]) -> str:
-        """Text of the articles (else of main, else of the body) without what is never article text and without the template."""
+    def key(self) -> int:
+        """What tells the page from others: the least hash of three words in a row in its longest block."""
+        words = self._longest.split(" ")
+        return min((_digest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))), default=0)
+
+    def text(self, template: dict[int, bool]) -> str:
+        """Text of the articles (else of main, else of the body) without what is never article text and without the template: subtrees, and
+        whether they go from an article's flow as well."""
         gone = bytearray(len(self.pieces) + 1)
-        for first, end, h, tag, never, flow in self.elements:
-            if never or (h in template and not flow and tag not in ("html", "body", "article", "main", *_INLINE)):
+        for first, end, _, _, never, _ in self.elements:
+            if never:
                 gone[first:end] = b"\x01" * (end - first)
+        if template:
+            for first, end, h, flow in self._recurring():
+                if template.get(h, False) if flow else h in template:
+                    gone[first:end] = b"\x01" * (end - first)
         kept = None
         for kind in ("article", "main"):
-            spans = [(first, end) for first, end, _, tag, _, _ in self.elements if tag == kind and not gone[first]]
+            spans: list[tuple[int, int]] = []
+            for first, end in sorted((first, -end) for first, end, _, tag, _, _ in self.elements if tag == kind and not gone[first]):
+                if not spans or first >= spans[-1][1]:  # the outer ones
+                    spans.append((first, -end))
             if any(isinstance(p, str) and p.strip() for a, b in spans for k, p in enumerate(self.pieces[a:b], a) if not gone[k]):
                 kept = bytearray(len(self.pieces) + 1)
                 for a, b in spans:
@@ -179,39 +279,43 @@ def _host():
 
 
 def template_subtrees(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtree) of the subtrees that recur on many different pages (by html) of the host.
+    """(host, subtree, everywhere) of the subtrees that belong to the host's template; everywhere: inside an article's flow as well.
 
-    At most max(subtrees of a page) / share of them can be there for a host.
+    Counted are distinct contexts, so copies of a page count once; rows are combined before they are shuffled.
     """
     small_batches(pages.sparkSession)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, d, s) for h, d, t in zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist(), batch.column("html").to_pylist(), strict=True) for s in (0, *Page(t or "").subtrees())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["host", "digest", "subtree"])
-
-    rows = pages.select(_host().alias("host"), F.xxhash64("html").alias("digest"), "html").mapInArrow(hashes, "host string, digest long, subtree long")
+            rows: list[tuple] = []
+            for host, digest, t in zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = Page(t or "")
+                key = page.key()
+                rows += [(host, 0, digest), *((host, h, key) for h in page.subtrees())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "subtree", "page"])
+
+    rows = pages.select(_host().alias("host"), F.xxhash64("html").alias("digest"), "html").mapInArrow(hashes, "host string, subtree long, page long")
     counts = rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     counts = written(counts.filter((F.col("n") >= least) | (F.col("subtree") == 0)), "subtrees")
-    total = counts.filter("subtree = 0").select("host", F.col("n").alias("pages"))
-    return counts.filter("subtree <> 0").join(total, "host").filter(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    total = counts.filter("subtree = 0").select("host", F.col("n").alias("total"))
+    return counts.filter(F.col("subtree") != 0).filter(F.col("n") >= least).join(total, "host").select("host", "subtree", (F.col("n") >= share * F.col("total")).alias("everywhere"))
 
 
 def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages.
 
-    Null or empty html has empty text; null urls form one host; repeated rows stay; extra columns are ignored;
-    no rows, no result. Templates go to the pages by broadcast if their rows are counted to be few, else by a
+    Null or empty html has empty text; null urls form one host; repeated rows stay; extra columns are ignored, whatever
+    their names; malformed markup is read as far as it goes, in linear time; no rows, no result. Templates go to the pages by broadcast if their rows are counted to be few, else by a
     join on the host, whose large partitions Spark splits.
     """
     found = written(template_subtrees(pages, least, share), "template")
-    lists = found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    lists = found.groupBy("host").agg(F.collect_list(F.struct("subtree", "everywhere")).alias("template"))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = pages.select("page_id", "url", "html", _host().alias("host")).join(F.broadcast(lists) if few else lists, "host", "left").select("page_id", "url", "html", "template")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h).text(set(t or ())) if h else "" for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            texts = [Page(h).text({x["subtree"]: x["everywhere"] for x in t or ()}) if h else "" for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extract, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
