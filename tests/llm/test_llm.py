@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from redpen.llm import bpe, bwt, chat, components, decontaminate, html, licenses, quality, simhash, suffixes, toxicity, warc
+from redpen.llm import bpe, bwt, chat, components, decontaminate, html, licenses, quality, simhash, suffixes, textvec, toxicity, warc
 from redpen.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,12 +224,37 @@ def test_quality_counts(spark):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(repeat) > 50 * len(w))
 
 
-def test_quality_keeps_clean_documents(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_quality_keeps_clean_documents(spark, folder):
+    """On a third of the labels that neither the fit nor the threshold has seen, by language."""
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    rows = quality.quality(docs, labels).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
-    kept = {r["quality"]: r["kept"] for r in rows}
-    assert kept[1] > 0.98 and kept[0] < 0.1
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 2
+    rows = quality.quality(docs, labels.filter(~third), carry=("lang",)).join(labels.filter(third), "doc_id").filter("not base_failed").groupBy("quality", "lang").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    for r in rows:
+        assert r["kept"] >= 0.95 if r["quality"] == 1 else r["kept"] <= 0.05, r
+
+
+def test_quality_verdict_against_brute_force(spark):
+    rnd = random.Random(8)
+    good = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(90)]
+    junk = [" ".join(rnd.choice(("x1|", "$$9", "zz%")) + str(rnd.randint(0, 99)) for _ in range(60)) for _ in range(10)]
+    docs = docs_of(spark, good + junk)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    left = {r["doc_id"] for r in quality.trusted_sample(labels).filter("left_out").collect()}
+    texts = [t.encode() for t in good + junk]
+    bucket = lambda g: int(textvec.mix(np.array([int.from_bytes(g, "big")], np.uint64))[0]) % quality.BUCKETS
+    grams = [[bucket(t[k : k + 4]) for k in range(len(t) - 3)] for t in texts]
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, g in enumerate(grams):
+        np.add.at(raw, g, 1)
+        if i < 90 and i not in left:
+            np.add.at(target, g, 1)
+    llr = [float(np.mean((np.log(target / target.sum()) - np.log(raw / raw.sum()))[g])) for g in grams]
+    threshold = sorted(llr[i] for i in left)[int(0.01 * len(left))] - quality.MARGIN
+    got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    assert len(left) >= quality.CALIBRATED
+    for i, x in enumerate(llr):
+        assert abs(got[i]["llr"] - x) < 1e-9 and got[i]["kept"] == (x >= threshold and not got[i]["base_failed"])
 
 
 # Toxicity
