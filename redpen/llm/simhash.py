@@ -5,10 +5,10 @@ from some segment on, every chain of l consecutive segments differs in at most 2
 one and two segments, 1 in three and four, 2 in all five. So candidates share two neighbouring
 segments (25 or 26 bits, an equi-join) and are pruned by the longer chains before the full check.
 
-Only distinct fingerprints are compared. Where very many of them share two segments, pairs are not
-made at all: two fingerprints differ in at most 2 bits exactly if some third value lies within 1 bit
-of both, so each is sent to the values within 1 bit of it, and all that meet there are linked to the
-least one. That finds the same components with rows in proportion to the group.
+Only distinct fingerprints are compared, and no bucket is compared as a whole: inside it fingerprints are
+dealt again to the values within 1 bit of them outside the two shared segments. Two that differ in at most
+2 bits have such a value in common, and at most 40 fingerprints can meet at one, so the pairs that are
+made follow the links there are, however many fingerprints share two segments.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from redpen.llm.components import components
 SEED, WORDS, MAX_BITS = 42, 3, 2
 #: Widths of the ring's segments, lowest bits first.
 WIDTHS = (13, 13, 13, 13, 12)
-#: Distinct fingerprints in one bucket up to which pairs are compared.
-PAIRED = 64
 #: Hashes that are turned to bits at once.
 _CHUNK = 1 << 15
 
@@ -79,39 +77,33 @@ def _differ(a: Column, b: Column, mask: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(_signed(mask))))
 
 
-def links(distinct: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """(a, b) links among distinct fingerprints (column fp) that connect all that differ in at most 2 bits."""
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b) of all distinct fingerprints (column fp) that differ in at most 2 bits, a < b."""
     masks, m = _masks(), len(WIDTHS)
     rings = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(masks[i] | masks[(i + 1) % m]))).alias("key")) for i in range(m)])
     rows = distinct.select("fp", F.explode(rings).alias("k")).select("fp", "k.i", "k.key")
-    sizes = rows.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(rows.join(sizes, ["i", "key"]), "ring")
+    twice = written(rows.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1").select("i", "key"), "ring")
+    shared = rows.join(twice, ["i", "key"], "left_semi")
+
+    # the value itself, and those with one bit changed outside segments i and i + 1
+    outside = [[0, *(1 << b for b in range(64) if not (masks[i] | masks[(i + 1) % m]) >> b & 1)] for i in range(m)]
+    flips = F.array(*[F.array(*[F.lit(_signed(x)) for x in own]) for own in outside])
+    centres = shared.select("fp", "i", F.explode(flips[F.col("i")]).alias("flip")).groupBy("i", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).agg(F.sort_array(F.collect_list("fp")).alias("met"))
+    every = F.expr("explode(flatten(transform(met, (x, p) -> transform(slice(met, p + 2, size(met)), y -> struct(x as a, y as b)))))").alias("pair")
+    candidates = centres.filter(F.size("met") > 1).select("i", every).select("i", "pair.a", "pair.b")
 
-    few = shared.filter(F.col("n") <= paired)
-    x, y = few.select("i", "key", F.col("fp").alias("a")), few.select("i", "key", F.col("fp").alias("b"))
     chains = F.lit(False)
     for i in range(m):
         ok = F.col("i") == i
-        for length in range(3, m + 1):
+        for length in range(3, m):
             mask = sum(masks[(i + k) % m] for k in range(length))
             ok &= _differ(F.col("a"), F.col("b"), mask) <= length * MAX_BITS // m
         chains |= ok
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    pairs = x.join(y, ["i", "key"]).filter((F.col("a") < F.col("b")) & chains & near).select("a", "b")
-
-    many = shared.filter(F.col("n") > paired)
-    balls = many.select("fp", "i", "key", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)) for k in range(64)])).alias("flip"))
-    free = [F.lit(_signed(masks[i] | masks[(i + 1) % m])) for i in range(m)]
-    inside = F.lit(False)
-    for i in range(m):
-        inside |= (F.col("i") == i) & (F.col("flip").bitwiseAND(free[i]) == 0)  # the shared segments are equal, so flips lie outside them
-    balls = balls.filter(inside).select("fp", "i", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
-    least = balls.groupBy("i", "key", "centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = balls.join(least, ["i", "key", "centre"]).filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
-    return pairs.union(stars).distinct()
+    return candidates.filter(chains).filter(near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     Null and empty texts have fingerprint 0 and are linked like others; repeated rows stay repeated; rows
@@ -120,7 +112,7 @@ def near_duplicates(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
     """
     fps = written(fingerprints(docs), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes, paired))
+    found = components(links(nodes))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")

@@ -359,8 +359,10 @@ def test_fingerprints_and_components(spark):
         own = list(base)
         own[rnd.randrange(300)] = rnd.choice(words)
         texts.append(" ".join(own))
-    for paired in (simhash.PAIRED, 2):
-        got = {r["doc_id"]: r for r in simhash.near_duplicates(docs_of(spark, texts), paired).collect()}
+    for docs in (docs_of(spark, texts), docs_of(spark, texts).union(docs_of(spark, texts))):
+        rows = simhash.near_duplicates(docs).collect()
+        got = {r["doc_id"]: r for r in rows}
+        assert len(rows) in (len(texts), 2 * len(texts))
         fps = [_fingerprint(t or "") for t in texts]
         assert [got[i]["fingerprint"] for i in range(len(texts))] == [f"{x:016x}" for x in fps]
         root = list(range(len(texts)))
@@ -376,6 +378,23 @@ def test_fingerprints_and_components(spark):
         assert [got[i]["component_id"] for i in range(len(texts))] == root
 
 
+def test_links_in_a_hot_bucket(spark):
+    """Fingerprints that all share two segments, and many of them close together."""
+    rnd = random.Random(6)
+    base = rnd.getrandbits(64)
+    fps = {base}
+    while len(fps) < 700:
+        x = rnd.choice(sorted(fps)[:50]) if rnd.random() < 0.7 else base
+        for _ in range(rnd.randint(1, 4)):
+            x ^= 1 << rnd.randrange(26, 64)
+        fps.add(x)
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {tuple(sorted((signed(x), signed(y)))) for k, x in enumerate(fps) for y in fps[:k] if bin(x ^ y).count("1") <= 2}
+    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (None, 1), (3, 1), *((k, k + 1) for k in range(100, 140))], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
