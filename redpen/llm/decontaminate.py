@@ -1,13 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units are replaced by typed placeholders, so that a question with other values
-has the same template. Five-token windows of the templates are hash-joined with those of the
-benchmark, and the values that fill the slots are checked: along one alignment, each value of the
-benchmark item must always stand for the same value in the document.
+Numbers, names and units are replaced by typed placeholders, so that a question with other values has
+the same template; a name of several words is one placeholder. A capital at a sentence's beginning may
+be a name or not, so windows with one are read both ways. Five-token windows of the templates are
+hash-joined with those of the benchmark. Then the values that fill the slots are checked over all
+windows of a text and an item: a value of the item has to stand for one value of the text everywhere.
+
+Windows with fewer than two literal tokens, and items of fewer than five tokens, have too little template
+to go by: they are compared word by word, with their values.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +28,10 @@ WINDOW = 5
 CONTAINED = 0.8
 #: Literal (not placeholder) tokens that a window needs to be compared.
 LITERALS = 2
-#: Distinct benchmark windows up to which tasks hold their hashes to look through texts.
-HELD_WINDOWS = 1_000_000
+#: Bits of the table by which tasks leave out windows that no item has. It grows with nothing: a larger benchmark passes more windows on to the join.
+FILTER_BITS = 1 << 22
+#: Tokens by which the distance of both texts may change inside one alignment (words put in or left out).
+SHIFT = 8
 #: Words that are units behind a number (fixed values).
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons lb lbs oz ml cl l liter liters litre litres gallon gallons "
@@ -87,89 +94,138 @@ class Template:
         if len(unit):
             unit[first] = False
         self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~opens, NAME, 0)))
-        self.hash = np.where(self.kind > 0, mix(self.kind.astype(U64)), literal)
-        self.slot = literal
-
-    def windows(self, n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of each window of n tokens inside a text with enough literals."""
-        if len(self.doc) < n:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        at = np.flatnonzero(self.doc[: len(self.doc) - n + 1] == self.doc[n - 1 :])
-        key, literal = np.zeros(len(at), U64), np.zeros(len(at), np.int64)
+        self.either = capital & opens & (self.kind == 0)  # a name or not
+        self.prefix, self.first = prefix, first
+        #: stands right behind the token before, with one space between
+        self.near = np.append(False, (self.start[1:] - self.end[:-1] == 1) & (raw[self.end[:-1]] == 32)) if len(self.start) else np.zeros(0, bool)
+
+    def reading(self, names: bool) -> tuple[np.ndarray, ...]:
+        """(token, kind, value, either) of the sequence with adjacent names as one; names: sentences begin with names where they can."""
+        kind = np.where(self.either & names, NAME, self.kind)
+        if not len(kind):
+            return np.zeros(0, np.int64), kind, np.zeros(0, U64), np.zeros(0, bool)
+        goes_on = np.append(False, (kind[1:] == NAME) & (kind[:-1] == NAME)) & self.near
+        token = np.flatnonzero(~goes_on)
+        last = np.append(token[1:], len(kind)) - 1
+        return token, kind[token], self.prefix.of(self.start[token], self.end[last]), np.logical_or.reduceat(self.either, token)
+
+    def windows(self, n: int = WINDOW, names: bool = False, literally: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, key, filled, values) of each window of n tokens inside a text; filled marks the slots in the grid of values.
+
+        With names only the windows that read otherwise then. Windows with fewer than LITERALS literal tokens, or all of them
+        if literally is given, have keys of their values and no slots."""
+        token, kind, value, either = self.reading(names)
+        doc = self.doc[token]
+        at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
+        grid = at[:, None] + np.arange(n)
+        if names and len(at):
+            grid = grid[either[grid].any(axis=1)]
+        slot = kind[grid] > 0
+        exact = ((~slot).sum(axis=1) < LITERALS) | literally
+        filled = slot & ~exact[:, None]
+        seen = np.where(filled, mix(kind[grid].astype(U64)), value[grid])
+        key = np.where(exact, U64(n), U64(0)).astype(U64)
         for k in range(n):
-            key = mix(key * U64(31) + self.hash[at + k])
-            literal += self.kind[at + k] == 0
-        good = literal >= LITERALS
-        return at[good], key[good]
+            key = mix(key * U64(31) + seen[:, k])
+        return token[grid[:, 0]], key, filled, value[grid]
 
 
 _UNIT_HASHES = np.sort(np.array([Prefix(np.frombuffer(u.encode(), np.uint8)).of(np.array([0]), np.array([len(u)]))[0] for u in UNITS], U64))
-_SCHEMA = "at long, key long, slots array<long>, values array<long>, n long"
 
 
-def template_windows(rows: DataFrame, id_column: str, keys: np.ndarray | None = None) -> DataFrame:
-    """One row for each window of each text: id, at (token), key, slots (places in the text) and the values there, n (the text's windows).
+def template_windows(rows: DataFrame, id_column: str, short: tuple[int, ...] = (), keep: np.ndarray | None = None) -> DataFrame:
+    """(id, at, key, values, n): one row for each window of each text and reading: its first token, its key, what fills its slots, and the
+    text's number of windows. A text of fewer than WINDOW tokens is one window.
 
-    keys: sorted hashes; only windows among them are sent on.
+    short: lengths of windows that are looked for besides (of short items); keep: only windows that this table of bits has.
     """
     small_batches(rows.sparkSession)
-    seen = None
-    if keys is not None:
-        seen = np.zeros(1 << 20, bool)
-        seen[(keys & U64((1 << 20) - 1)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
             for row, texts in pieces(batch, "text"):
                 t = Template(texts)
-                at, key = t.windows()
-                total = np.bincount(t.doc[at], minlength=len(texts))
-                if keys is not None and len(at):
-                    maybe = np.flatnonzero(seen[(key & U64((1 << 20) - 1)).astype(np.int64)])
-                    place = np.minimum(np.searchsorted(keys, key[maybe]), len(keys) - 1)
-                    maybe = maybe[keys[place] == key[maybe]]
-                    at, key = at[maybe], key[maybe]
-                grid = at[:, None] + np.arange(WINDOW)
                 first = np.searchsorted(t.doc, np.arange(len(texts)))  # first token of each text
-                doc = t.doc[at]
-                filled = t.kind[grid] > 0 if len(at) else np.zeros((0, WINDOW), bool)
-                offsets = np.append(0, np.cumsum(filled.sum(axis=1))).astype(np.int32)
-                slots = (grid - first[doc][:, None])[filled] if len(at) else np.zeros(0, np.int64)
-                values = t.slot[grid][filled].view(np.int64) if len(at) else np.zeros(0, np.int64)
-                nested = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.astype(np.int64))) for x in (slots, values)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + doc)), pa.array((at - first[doc]).astype(np.int64)), pa.array(key.view(np.int64)), *nested, pa.array(total[doc].astype(np.int64))],
-                    ["id", "at", "key", "slots", "values", "n"],
-                )
-
-    return rows.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {dict(rows.dtypes)[id_column]}, {_SCHEMA}")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED, held: int = HELD_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_found, n_slots) for each document that holds `share` or more of an item's windows
-    with consistent slots.
-
-    Null texts are empty. Items with fewer than five tokens, or without a window of two literal tokens, are never
-    found. Repeated rows count once (windows are counted distinct by id); null ids are left out. Extra columns are ignored;
-    an empty table on either side gives no rows.
+                tokens = np.bincount(t.doc, minlength=len(texts))
+                total = np.bincount(t.doc[t.windows()[0]], minlength=len(texts))
+                total[total == 0] = 1
+                found = [t.windows(), t.windows(names=True)]
+                for n in short if keep is not None else range(1, WINDOW):
+                    w = t.windows(n, literally=True)
+                    own = slice(None) if keep is not None else tokens[t.doc[w[0]]] == n  # an item is one window, a document has many
+                    found.append(tuple(x[own] for x in w))
+                for at, key, filled, values in found:
+                    if keep is not None and len(at):
+                        maybe = np.flatnonzero(keep[(key % U64(FILTER_BITS)).astype(np.int64)])
+                        at, key, filled, values = at[maybe], key[maybe], filled[maybe], values[maybe]
+                    if not len(at):
+                        continue
+                    doc = t.doc[at]
+                    offsets = pa.array(np.append(0, np.cumsum(filled.sum(axis=1))).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(row + doc)), pa.array((at - first[doc]).astype(np.int64)), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(values[filled].view(np.int64))), pa.array(total[doc].astype(np.int64))],
+                        ["id", "at", "key", "values", "n"],
+                    )
+
+    return rows.select(F.col(id_column).alias("id"), "text").mapInArrow(run, f"id {dict(rows.dtypes)[id_column]}, at long, key long, values array<long>, n long")
+
+
+def _filter_table(items: DataFrame) -> np.ndarray:
+    """Flags of the FILTER_BITS remainders that keys of items have; Spark builds the bitmaps, FILTER_BITS / 8 bytes reach the driver at most."""
+    place = F.pmod(F.col("key"), F.lit(FILTER_BITS)) + 1
+    flags = np.zeros(FILTER_BITS, bool)
+    for r in items.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
+        flags[(r["k"] - 1) * len(bits) : r["k"] * len(bits)] = bits
+    return flags
+
+
+def consistent(matches: list[tuple[int, int, list[int], list[int]]]) -> tuple[int, int]:
+    """(windows found, slot values) of one item in one text, from its matches (item_at, doc_at, item_values, doc_values).
+
+    Matches are put together to alignments by the distance of both texts. From the largest alignment on, each value of the item
+    that has no counterpart yet gets the one it meets most often there; windows that contradict don't count."""
+    shifted = sorted(matches, key=lambda m: (m[1] - m[0], m[0], m[1]))
+    groups: list[list] = []
+    for m in shifted:
+        if not groups or m[1] - m[0] - (groups[-1][-1][1] - groups[-1][-1][0]) > SHIFT:
+            groups.append([])
+        groups[-1].append(m)
+    groups.sort(key=lambda g: (-len({m[0] for m in g}), g[0][1] - g[0][0]))
+    meant: dict[int, int] = {}
+    places: set[int] = set()
+    for group in groups:
+        votes: dict[int, Counter] = {}
+        for _, _, item, doc in group:
+            for b, d in zip(item, doc, strict=True):
+                votes.setdefault(b, Counter())[d] += 1
+        for b, seen in votes.items():
+            meant.setdefault(b, min(seen, key=lambda d: (-seen[d], d)))
+        places |= {at for at, _, item, doc in group if all(meant[b] == d for b, d in zip(item, doc, strict=True))}
+    return len(places), len(meant)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINED) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_found, n_slots) for each document that holds `share` or more of an item's windows with consistent
+    slots: values of the document for values of the item.
+
+    Null texts are empty; items without a token are never found, and an item of one word wherever the word stands.
+    Repeated rows count once (windows are distinct by id); null ids are left out. Extra columns are ignored; an empty
+    table on either side gives no rows. The matches of one item in one text are one row.
     """
     items = written(template_windows(benchmark.filter("item_id is not null"), "item_id").distinct(), "items")
-    distinct = items.select("key").distinct()
-    few = distinct.limit(held + 1).count() <= held
-    keys = np.sort(np.array([r["key"] for r in distinct.collect()], np.int64).view(U64)) if few else None
-    if few and not len(keys):
-        keys = np.array([0], U64)
-    found = template_windows(docs.filter("doc_id is not null"), "doc_id", keys).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "key", F.col("values").alias("doc_values"))
+    sizes = tuple(range(1, WINDOW)) if items.filter("n = 1").limit(1).count() else ()
+    found = template_windows(docs.filter("doc_id is not null"), "doc_id", sizes, _filter_table(items)).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "key", F.col("values").alias("doc_values"))
     item = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "key", F.col("values").alias("item_values"), F.col("n").alias("n_windows"))
-    # windows of one alignment have the same distance between both texts
-    joined = found.join(small_side(item), "key").withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    matched = joined.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_at").alias("places"),
-        F.max("n_windows").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_values").alias("b"), F.col("doc_values").alias("d"))))).alias("pairs"),
-    )
-    b = F.array_distinct(F.transform("pairs", lambda p: p["b"]))
-    consistent = matched.filter(F.size(b) == F.size("pairs"))
-    per_item = consistent.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_found"), F.max("n_windows").alias("n_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"))
-    return per_item.filter(F.col("n_found") >= share * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_found", "n_slots")
+    joined = found.join(small_side(item), "key").groupBy("doc_id", "item_id", "n_windows").agg(F.collect_set(F.struct("item_at", "doc_at", "item_values", "doc_values")).alias("matches"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [consistent([(m["item_at"], m["doc_at"], m["item_values"], m["doc_values"]) for m in matches]) for matches in batch.column("matches").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "item_id", "n_windows")), *(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1))], ["doc_id", "item_id", "n_windows", "n_found", "n_slots"])
+
+    enough = joined.filter(F.size(F.array_distinct(F.transform("matches", lambda m: m["item_at"]))) >= share * F.col("n_windows"))
+    kinds = dict(joined.dtypes)
+    rows = enough.mapInArrow(check, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_windows long, n_found long, n_slots long")
+    return rows.filter(F.col("n_found") >= share * F.col("n_windows"))

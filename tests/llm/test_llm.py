@@ -304,13 +304,61 @@ def test_reparameterised_questions(spark):
     assert got == {(0, 1)}
 
 
-def test_exact_leaks(spark):
+def test_reparameterised_items_are_found(spark):
+    """Word problems with planted leaks: other names (of one or two words, at a sentence's beginning too), numbers, units and an inserted word."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(3, 8)))
+    names = ["Anna", "Boris", "Clara Weiss", "Dmitri", "Eva Maria Stone", "Farid"]
+    units = ["km", "kg", "hours", "miles"]
+    shapes = [[word() for _ in range(24)] for _ in range(40)]
+
+    def told(shape, name, a, b, unit, extra=False):
+        w = [*shape[:6], a, unit, *shape[6:14], *(["really"] if extra else []), b, unit, *shape[14:]]
+        return f"{name} {' '.join(w)}. {name} {' '.join(shape[:5])} {a} {unit}"
+
+    bench = spark.createDataFrame([(k, told(s, names[0], "3", "14", "km")) for k, s in enumerate(shapes)], "item_id long, text string")
+    texts, want = [], set()
+    for k, s in enumerate(shapes):
+        around = [" ".join(word() for _ in range(30)) + ". " for _ in range(2)]
+        leak = told(s, rnd.choice(names[1:]), str(rnd.randint(20, 99)), str(rnd.randint(100, 999)), rnd.choice(units), k % 4 == 0)
+        texts.append(around[0] + leak + ". " + around[1])
+        want.add((k, k))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(40)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_short_items_and_contradictions(spark):
+    bench = spark.createDataFrame([(1, "few words"), (2, "Add 3 and 4"), (3, "7 8 9 10 11 12"), (4, "one two three four five 6 seven eight nine 6 ten eleven twelve 6 more words")], "item_id long, text string")
+    texts = ["there are few words here", "Add 5 and 4", "please add 3 and 4 now", "7 8 9 10 11 12", "1 2 3 4 5 6", "one two three four five 8 seven eight nine 8 ten eleven twelve 8 more words", "one two three four five 8 seven eight nine 5 ten eleven twelve 7 more words"] * 2
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(i + k, j) for i, j in ((0, 1), (2, 2), (3, 3), (5, 4)) for k in (0, 7)}
+
+
+def test_leaks_against_brute_force(spark):
+    """Every pair of sf0.01, from the windows of both texts without Spark, filter or join."""
     folder = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
-    items = {r["item_id"]: r["text"] for r in bench.collect()}
-    want = {(r["doc_id"], i) for r in docs.collect() for i, t in items.items() if t in r["text"]}
+
+    def windows(text):
+        t = decontaminate.Template([text.encode()])
+        out = collections.defaultdict(list)
+        for names in (False, True):
+            for at, key, filled, values in zip(*t.windows(names=names), strict=True):
+                out[int(key)].append((int(at), values[filled].tolist()))
+        return out, max(1, len(t.windows()[0]))
+
+    items = {r["item_id"]: windows(r["text"]) for r in bench.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    want = set()
+    for d, text in texts.items():
+        own, _ = windows(text or "")
+        for i, (theirs, n) in items.items():
+            matches = [(a, b, x, y) for key in own.keys() & theirs.keys() for a, x in theirs[key] for b, y in own[key]]
+            if matches and decontaminate.consistent(matches)[0] >= decontaminate.CONTAINED * n:
+                want.add((d, i))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert want and want <= got
+    assert got == want and {(d, i) for d, t in texts.items() for i, x in ((r["item_id"], r["text"]) for r in bench.collect()) if x in (t or "")} <= got
 
 
 # BPE
