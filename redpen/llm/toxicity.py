@@ -21,8 +21,6 @@ from redpen.llm.textvec import U64, Prefix, Words, mix
 
 #: Bound on the labelled rows that weights are fitted on; the character model covers all rows.
 MAX_LABELLED = 8_000
-#: Bound on weighted features; the ones of greatest significance.
-MAX_FEATURES = 5_000
 #: A feature needs so many toxic texts, this ratio of its rates in toxic and clean texts, and this z score.
 LEAST_TOXIC, LEAST_RATIO, LEAST_Z = 4, 4.0, 4.0
 TOXIC_FROM = 0.7
@@ -39,8 +37,11 @@ LEET = {
 SEPARATORS = ".-_*~'`,:;/\\#%&^="
 _SIGNS = re.escape("".join(LEET))
 _APART = re.escape(SEPARATORS)
-_NOISY = re.compile(rf"[^\W\d_][{_SIGNS}{_APART}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][0-9@$]{{1,2}}$|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W_]){2,}(?!\S)")
+#: Punctuation around a word; what it encloses is decoded.
+EDGES = ".,;:!?\"'()[]{}<>…“”‘’«»„-–—"
+_NOISY = re.compile(rf"[^\W\d_][{_SIGNS}{_APART}]+[^\W\d_]|[{_SIGNS}][^\W\d_]|[^\W\d_][{_SIGNS}]|([^\W\d_])\1\1")
+_SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[{_SIGNS}])(?:[ \t]+(?:[^\W_]|[{_SIGNS}])){{2,}}(?![^\s.,;:!?])")
+_BLANKS = re.compile("[ \t]+")
 
 #: Character classes of the model: 0 no letter, 1 to 26 a to z, 27 any other letter.
 CLASSES = 28
@@ -139,7 +140,9 @@ class Restorer:
 
     def spaced(self, m: re.Match) -> str:
         """Single letters in a row: one word if that is likelier than words of one letter each."""
-        letters = m[0].split(" ")
+        letters = _BLANKS.split(m[0])
+        if sum(map(str.isalpha, letters)) < 2:
+            return m[0]
         word = self.decode("".join(letters))
         return word if self.cost(word) < sum(self.cost(x) for x in letters) else m[0]
 
@@ -152,6 +155,14 @@ class Restorer:
                 a, b = b, c
         return total
 
+    def inner(self, chunk: str) -> str | None:
+        """The chunk with what its edge punctuation encloses decoded; None if nothing there may be hidden. A leading `!` may be a letter."""
+        lead = chunk.lstrip(EDGES.replace("!", ""))
+        core = lead.rstrip(EDGES)
+        if not _NOISY.search(core):
+            return None
+        return chunk[: len(chunk) - len(lead)] + self.decode(core) + lead[len(core) :]
+
     def restore(self, text: str) -> str:
         """The text in lower case with every hidden string restored."""
         text = text.lower()
@@ -164,7 +175,7 @@ class Restorer:
                 held.clear()
                 new = set(chunks)
             for c in new:
-                held[c] = self.decode(c) if _NOISY.search(c) else None
+                held[c] = self.inner(c)
         changed = [held[c] for c in chunks]
         if any(x is not None for x in changed):
             return " ".join([c if x is None else x for c, x in zip(chunks, changed, strict=True)])
@@ -207,7 +218,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
     """(text, toxic) of at most `bound` labelled rows that aren't held out, by hash order of doc_id; texts with contradictory labels are left out."""
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     ids = rows.filter("toxic = most").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").cast("int").alias("toxic"))  # a doc_id counts once
+    return found.select("text", "toxic")
 
 
 class Model:
@@ -281,8 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = MAX_
     counts = sample.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = ((F.col("bad") + 0.5) / bad_n) / ((F.col("good") + 0.5) / good_n)
     z = F.log(ratio) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    told = counts.filter((F.col("bad") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z)).select("feature", F.log(ratio).alias("w"), z.alias("z"))
-    rows = told.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    told = counts.filter((F.col("bad") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z)).select("feature", F.log(ratio).alias("w"))
+    rows = told.orderBy("feature").collect()  # of the words of at most `bound` texts, those that tell
     model = Model(np.array([r["feature"] for r in rows], np.int64).view(U64), np.array([r["w"] for r in rows]), np.zeros(SUMMARY))
 
     names = [f"x{k}" for k in range(SUMMARY)]

@@ -263,7 +263,7 @@ def test_quality_verdict_against_brute_force(spark):
 def test_restoring(spark):
     docs = docs_of(spark, ["you are an idiot and a moron " * 50, "the worthless clown and the stupid loser " * 50])
     r = toxicity.Restorer(toxicity.char_model(docs))
-    for said, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("c l o w n", "clown"), ("stuuuupid", "stupid"), ("w0rthl3ss", "worthless"), ("l.o.s.e.r", "loser"), ("plain words", "plain words")):
+    for said, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("c l o w n", "clown"), ("stuuuupid", "stupid"), ("w0rthl3ss", "worthless"), ("l.o.s.e.r", "loser"), ("plain words", "plain words"), ("m0r0n!", "moron!"), ('"1d10t.', '"idiot.'), ("!diot", "idiot"), ("c  l 0 w   n.", "clown."), ("wow!", "wow!")):
         assert r.restore(said) == meant
 
 
@@ -280,6 +280,10 @@ def test_toxicity_odd_inputs(spark):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(docs_of(spark, ODD), labels).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    again = toxicity.toxicity(docs_of(spark, ODD).union(docs_of(spark, ODD)), labels).collect()
+    assert len(again) == 2 * len(ODD)
+    sample = toxicity.labelled_sample(docs_of(spark, ODD).union(docs_of(spark, ODD)), labels).count()
+    assert sample == labels.filter(~toxicity.held_out("doc_id")).count()
 
 
 # Licenses
