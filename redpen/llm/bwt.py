@@ -21,8 +21,9 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     sort of 16-bit digits. Ties beyond the depth keep any order.
     """
     n = len(symbols)
-    used, dense = np.unique(symbols, return_inverse=True)
-    bits = max(1, int(len(used) - 1).bit_length())
+    used = np.bincount(symbols) > 0
+    dense = (np.cumsum(used) - 1)[symbols]
+    bits = max(1, int(used.sum() - 1).bit_length())
     width = 64 // bits
     key = np.zeros(n, np.uint64)
     for k in range(width):
@@ -69,9 +70,8 @@ def boundaries(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
         if not len(fresh):
             break
         found = _dense(fresh, known, following) if level < _DENSE_LEVELS else _stepwise(fresh, known, marks, following)
-        target = to[found] + 1
-        target = target[~known[target]]
-        fresh = np.unique(target)
+        target = to[found] + 1  # different for different ranks
+        fresh = target[~known[target]]
         known[fresh] = True
     return order, known[:n]
 

@@ -4,7 +4,8 @@ Windows of LENGTH bytes are dealt to tasks so that equal ones meet: each has a m
 windows.py), and consecutive windows with one minimizer travel as a run. Runs whose minimizer occurs
 once hold no repeat. Equal runs travel as one, with their number as weight. All others are decided by
 a Burrows-Wheeler transform over the distinct runs of many minimizers, expanded breadth-first up to
-LENGTH (see bwt.py).
+LENGTH (see bwt.py). Consecutive runs of a text whose minimizers have no other run overlap by a window;
+they go through the transform as one piece.
 
 Where many different runs share a minimizer (the edges of a passage in very many documents), they are
 dealt again, window by window, by a finer key: a hash of the whole window. What stands once under
@@ -28,7 +29,9 @@ from redpen.llm.windows import Runs
 
 LENGTH, GRAM = 400, 160
 #: Different runs of one minimizer beyond which they are dealt again by a finer key, so that no task gets more of them.
-DEALT = 256
+DEALT = 2_000
+#: Bytes up to which consecutive runs of a text that no different run can equal are transformed as one piece.
+_JOINED = 64 << 10
 #: Bytes of runs that are transformed at once.
 _COMPARED_BYTES = 640 << 10
 #: Longer texts are looked through in parts that overlap by a window.
@@ -84,74 +87,90 @@ def _span_column(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in spans] for spans in found], _SPANS)
 
 
-def compared(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, body, spans) of the runs with repeated windows, from their texts (key, body, weight, bytes)."""
+_PIECE = "key long, weight long, bytes binary, parts array<struct<key:long,body:long,at:int,count:int>>"
+_PARTS = pa.list_(pa.struct([("key", pa.int64()), ("body", pa.int64()), ("at", pa.int32()), ("count", pa.int32())]))
+
+
+def _piece_rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), _PARTS)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "weight", "bytes", "parts"])
+
+
+def compared(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, body, spans) of the runs with repeated windows. Pieces are texts with their weight and the runs that they consist of."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, body, weight, text, size = [], [], [], [], 0
+        keys, weight, text, parts, size = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             flags = repeated_starts(text, np.array(weight, np.float64), length)
-            hit = [k for k, f in enumerate(flags) if f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([key[k] for k in hit], pa.int64()), pa.array([body[k] for k in hit], pa.int64()), _span_column([_spans(flags[k]) for k in hit])], ["key", "body", "spans"])
+            hit = [(p["key"], p["body"], f[p["at"] : p["at"] + p["count"]]) for f, own in zip(flags, parts, strict=True) for p in own]
+            hit = [h for h in hit if h[2].any()]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64()), _span_column([_spans(h[2]) for h in hit])], ["key", "body", "spans"])
 
         for batch in batches:
-            for k, b, w, t in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "weight", "bytes")), strict=True):
-                if size > _COMPARED_BYTES and k != key[-1]:  # runs of one minimizer stay together
+            for k, w, t, own in zip(*(batch.column(c).to_pylist() for c in ("key", "weight", "bytes", "parts")), strict=True):
+                if size > _COMPARED_BYTES and k != keys[-1]:  # runs of one minimizer stay together
                     yield flush()
-                    key, body, weight, text, size = [], [], [], [], 0
-                key.append(k)
-                body.append(b)
+                    keys, weight, text, parts, size = [], [], [], [], 0
+                keys.append(k)
                 weight.append(w)
                 text.append(t)
+                parts.append(own)
                 size += len(t)
-        if key:
+        if keys:
             yield flush()
 
-    dealt = contexts.select("key", "body", "weight", "bytes").repartition("key").sortWithinPartitions("key", "body")
-    return dealt.mapInArrow(expand, "key long, body long, spans array<struct<a:int,b:int>>")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(expand, "key long, body long, spans array<struct<a:int,b:int>>")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted rows (row, first, count, at, key, body, weight) with their bytes; a text's rows go to it as one list."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "body", "weight", "first", "count")).alias("wanted"))
+    """Pieces of the wanted runs (row, first, count, at, key, body, weight, alone); a text's runs go to it as one list."""
+    lists = wanted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key", "body", "weight", "alone"))).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for text, want in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                out += [(w["key"], w["body"], w["weight"], text[w["first"] : w["first"] + w["count"] + length - 1]) for w in want]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "body", "weight", "bytes"])
-
-    return docs.select("row", "text").join(lists, "row").select("text", "wanted").mapInArrow(cut, "key long, body long, weight long, bytes binary")
+                groups: list[list[dict]] = []
+                for w in want:
+                    last = groups[-1] if groups else None
+                    if last and w["alone"] and last[0]["alone"] and last[-1]["first"] + last[-1]["count"] == w["first"] and w["first"] - last[0]["first"] < _JOINED:
+                        last.append(w)
+                    else:
+                        groups.append([w])
+                for g in groups:
+                    first = g[0]["first"]
+                    own = [{"key": w["key"], "body": w["body"], "at": w["first"] - first, "count": w["count"]} for w in g]
+                    out.append((g[0]["key"], min(w["weight"] for w in g), text[first : g[-1]["first"] + g[-1]["count"] + length - 1], own))
+            yield _piece_rows(out)
+
+    return docs.select("row", "text").join(lists, "row").select("text", "wanted").mapInArrow(cut, _PIECE)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """One row for each window of each run: the run, the window's start in it and its hash as a pair."""
+    """One row for each window of each piece (of one run): the run, the window's start in it and its hash as a pair."""
     for batch in batches:
-        for k, b, w, t in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "weight", "bytes")), strict=True):
+        for w, t, own in zip(*(batch.column(c).to_pylist() for c in ("weight", "bytes", "parts")), strict=True):
             raw = np.frombuffer(t, np.uint8)
             at = np.arange(len(raw) - length + 1)
             one, two = Prefix(raw).of(at, at + length), Prefix(raw[::-1]).of(len(raw) - at - length, len(raw) - at)
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k)), pa.array(np.full(n, b)), pa.array(np.full(n, w)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["key", "body", "weight", "a", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, own[0]["key"])), pa.array(np.full(n, own[0]["body"])), pa.array(np.full(n, w)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["key", "body", "weight", "a", "one", "two"])
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The windows that are asked for (a run's `wanted`), as rows for compared() under their finer keys."""
+    """The windows that are asked for (a run's `wanted`), as pieces under their finer keys."""
     for batch in batches:
-        out = [(w["one"], w["two"], w["n"], t[w["a"] : w["a"] + length]) for t, want in zip(batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist(), strict=True) for w in want]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "body", "weight", "bytes"])
+        yield _piece_rows([(w["one"], w["n"], t[w["a"] : w["a"] + length], [{"key": w["one"], "body": w["two"], "at": 0, "count": 1}]) for t, want in zip(batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist(), strict=True) for w in want])
 
 
-def compared_finer(texts: DataFrame, length: int) -> DataFrame:
-    """(key, body, spans) as compared() gives, for runs of minimizers with too many different ones."""
-    windows = written(texts.mapInArrow(lambda x: _windows(x, length), "key long, body long, weight long, a int, one long, two long"), "windows")
+def compared_finer(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, body, spans) as compared() gives, for runs of minimizers with too many different ones (pieces of one run each)."""
+    windows = written(pieces.mapInArrow(lambda x: _windows(x, length), "key long, body long, weight long, a int, one long, two long"), "windows")
     stands = windows.groupBy("one", "two").agg(F.sum("weight").alias("n"), F.min(F.struct("key", "body", "a")).alias("where")).filter("n > 1")
     wanted = stands.groupBy("where.key", "where.body").agg(F.collect_list(F.struct("one", "two", "n", "where.a")).alias("wanted"))  # a run has few windows
-    copies = texts.select("key", "body", "bytes").join(wanted, ["key", "body"]).select("bytes", "wanted").mapInArrow(lambda x: _cut_windows(x, length), "key long, body long, weight long, bytes binary")
+    copies = pieces.select("key", F.col("parts")[0]["body"].alias("body"), "bytes").join(wanted, ["key", "body"]).select("bytes", "wanted").mapInArrow(lambda x: _cut_windows(x, length), _PIECE)
     found = compared(copies, length).select(F.col("key").alias("one"), F.col("body").alias("two"))
     return windows.join(found, ["one", "two"], "left_semi").groupBy("key", "body").agg(F.transform(F.collect_list("a"), lambda a: F.struct(a.alias("a"), (a + 1).alias("b"))).alias("spans"))
 
@@ -166,10 +185,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     one = F.min(F.struct("row", "first", "count", "at")).alias("one")
     contexts = shared.groupBy("key", "body").agg(F.count("*").alias("weight"), one)
     contexts = written(contexts.select("key", "body", "weight", "one.*"), "contexts")
-    many = written(contexts.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > most).select("key"), "many")
-    verdict = compared(_fetch(docs, contexts.join(many, "key", "left_anti"), length), length)
-    if many.limit(1).count():
-        verdict = verdict.unionByName(compared_finer(written(_fetch(docs, contexts.join(many, "key", "left_semi"), length), "many-texts"), length))
+    kinds = written(contexts.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    known = contexts.join(kinds, "key", "left").withColumn("alone", F.col("kinds").isNull())
+    verdict = compared(_fetch(docs, known.filter(F.coalesce("kinds", F.lit(1)) <= most), length), length)
+    if kinds.filter(F.col("kinds") > most).limit(1).count():
+        verdict = verdict.unionByName(compared_finer(written(_fetch(docs, known.filter(F.col("kinds") > most), length), "many-texts"), length))
     return shared.join(written(verdict, "verdict"), ["key", "body"]).select("row", "first", "spans")
 
 
