@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.functions import text as T
+from redpen.sources.tables import paragraphs
 
 LONG_PARAGRAPH, LONG_SENTENCE = 800, 80
 
@@ -34,22 +33,30 @@ def duplicate_signatures(docs: DataFrame) -> DataFrame:
     return rows.filter("n > 1").select("signature", "n", "first_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-def issues(docs: DataFrame, paras: DataFrame) -> DataFrame:
-    """Issues in document order (seq) from the three rules. One row each: see schema.ISSUE."""
-    text = paras.select("doc_id", "para_idx", "text")
-    long = long_paragraphs(paras).join(text, ["doc_id", "para_idx"]).select("doc_id", "para_idx", F.lit(0).cast("long").alias("sub"), "text", "n_chars", F.lit("structure").alias("category"), F.lit("major").alias("severity"), F.lit("paragraph").alias("scope"))
-    full = paras.filter(F.trim("text") != "")
-    again = full.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", F.md5("text")).orderBy("para_idx"))).filter("k > 1")
-    again = again.select("doc_id", "para_idx", F.lit(0).cast("long").alias("sub"), "text", F.length("text").cast("long").alias("n_chars"), F.lit("academic-integrity").alias("category"), F.lit("fatal").alias("severity"), F.lit("paragraph").alias("scope"))
-    said = long_sentences(paras).select("doc_id", "para_idx", F.col("sent_idx").alias("sub"), F.col("sentence").alias("text"), "n_chars", F.lit("language").alias("category"), F.lit("minor").alias("severity"), F.lit("sentence").alias("scope"))
-    found = reduce(DataFrame.unionByName, [long, again, said])
+def issues(docs: DataFrame) -> DataFrame:
+    """Issues in document order (seq) from the three rules, one row each.
+
+    Each paragraph gives the array of its findings, so texts are exploded once. Documents are dealt by doc_id before;
+    the windows here and those of with_groups() need no other exchange."""
+    chapter = F.concat_ws("/", "lang", "source").alias("chapter")
+    paras = paragraphs(docs.select("doc_id", "text", chapter).repartition("doc_id"), "chapter")
+    again = F.row_number().over(Window.partitionBy("doc_id", F.md5("text")).orderBy("para_idx")) > 1
+
+    def finding(text, sub, category: str, severity: str, scope: str):
+        return F.struct(F.lit(category).alias("category"), sub.cast("long").alias("sub"), F.lit(severity).alias("severity"), F.lit(scope).alias("scope"), text.alias("text"))
+
+    whole = F.array(
+        F.when(F.length("text") > LONG_PARAGRAPH, finding(F.col("text"), F.lit(0), "structure", "major", "paragraph")),
+        F.when((F.trim("text") != "") & F.col("again"), finding(F.col("text"), F.lit(0), "academic-integrity", "fatal", "paragraph")),
+    )
+    said = F.transform(T.sentences(F.col("text")), lambda s, i: F.when(F.length(s) > LONG_SENTENCE, finding(s, i, "language", "minor", "sentence")))
+    found = paras.withColumn("again", again).select("doc_id", "chapter", "para_idx", F.explode(F.filter(F.concat(whole, said), lambda f: f.isNotNull())).alias("f")).select("doc_id", "chapter", "para_idx", "f.*")
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx", "category", "sub")).cast("long")
-    rows = found.withColumn("seq", seq).join(docs.select("doc_id", F.concat_ws("/", "lang", "source").alias("chapter")), "doc_id")
     excerpt = F.when(F.length("text") > 60, F.concat(F.substring("text", 1, 57), F.lit("..."))).otherwise(F.col("text"))
-    return rows.select(
-        "doc_id", "seq", F.lit("thesis").alias("source"), "category", "severity", "scope", "chapter", "para_idx",
+    return found.select(
+        "doc_id", seq.alias("seq"), F.lit("thesis").alias("source"), "category", "severity", "scope", "chapter", "para_idx",
         excerpt.alias("excerpt"), F.substring(F.trim("text"), 1, 60).alias("anchor_text"),
-        F.concat(F.col("category"), F.lit(": "), F.col("n_chars").cast("string"), F.lit(" characters")).alias("problem"),
+        F.concat(F.col("category"), F.lit(": "), F.length("text").cast("string"), F.lit(" characters")).alias("problem"),
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.functions import text as T
@@ -10,15 +12,27 @@ from redpen.functions import text as T
 NEEDLE, SPAN = 30, 30
 
 
+def _inner_word(needle: Column) -> Column:
+    """A whole word inside the needle: what stands between its first two spaces; null if there is none."""
+    parts = F.split(needle, " ")
+    return F.when(F.size(parts) >= 3, parts[1])
+
+
 def anchor_hits(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     """First paragraph of the anchor's document that contains the first characters of the anchor, lines of a table of contents last.
 
-    anchors: (doc_id, seq, anchor_text). Equi-join on the document, containment as residual."""
+    anchors: (doc_id, seq, anchor_text). Paragraphs that have the anchor's inner word are candidates, by an equi-join of words
+    that carry no text, so a long document isn't compared anchor by paragraph; anchors without an inner word meet every
+    paragraph of their document."""
     needle = F.substring(T.strip(F.col("anchor_text")), 1, NEEDLE)
-    wanted = anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''")
-    hit = wanted.join(paras, "doc_id").filter(F.contains("text", "needle"))
-    order = Window.partitionBy("doc_id", "seq").orderBy(T.is_contents_line(F.col("text")).cast("int"), "para_idx")
-    return hit.withColumn("k", F.row_number().over(order)).filter("k = 1").select("doc_id", "seq", F.col("para_idx").alias("hit_para"), (F.instr("text", F.col("needle")) - 1).cast("long").alias("start"), F.length("text").cast("long").alias("para_chars"))
+    wanted = anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''").withColumn("word", _inner_word(F.col("needle")))
+    words = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    near = wanted.filter("word is not null").join(words, ["doc_id", "word"]).select("doc_id", "seq", "needle", "para_idx").join(paras.select("doc_id", "para_idx", "text"), ["doc_id", "para_idx"])
+    bare = wanted.filter("word is null").select("doc_id", "seq", "needle").join(paras.select("doc_id", "para_idx", "text"), "doc_id")
+    hit = near.unionByName(bare).filter(F.contains("text", "needle"))
+    order = F.struct(T.is_contents_line(F.col("text")).cast("int"), "para_idx")
+    place = F.struct(F.col("para_idx").alias("hit_para"), (F.instr("text", F.col("needle")) - 1).cast("long").alias("start"), F.length("text").cast("long").alias("para_chars"))
+    return hit.groupBy("doc_id", "seq").agg(F.min_by(place, order).alias("p")).select("doc_id", "seq", "p.*")
 
 
 def anchor_spans(hits: DataFrame) -> DataFrame:
@@ -41,19 +55,30 @@ def cascade(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     return joined.select("doc_id", "seq", F.coalesce(place, "first_para").alias("place"), how.alias("how"))
 
 
+def _piece(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.substring(F.col("text"), i, F.lit(n))
+
+
 def first_hits(items: DataFrame, paras: DataFrame) -> DataFrame:
-    """(item_id, doc_id, para_idx): first place in the corpus of the first characters of each item.
+    """(item_id, doc_id, para_idx): first place in the corpus of the first characters of each item, lines of a table of contents last.
 
-    There is no equi key between both sides. Each needle holds a first word of its own, so needles are joined to
-    the words of paragraphs by equality and only then compared: no pair of all rows is made."""
+    There is no equi key between both sides, so needles are joined to the words of paragraphs by their inner word, or, without
+    one, to the paragraphs' pieces of as many characters as the needle has; neither carries text. Texts are fetched for
+    the candidates only."""
     needle = F.substring(T.strip(F.col("text")), 1, NEEDLE)
-    wanted = items.select("item_id", needle.alias("needle")).filter("needle <> ''")
-    # a whole word inside the needle, if it has one: what stands between its first two spaces
-    wanted = wanted.withColumn("word", F.split("needle", " ")[1]).filter(F.size(F.split("needle", " ")) >= 3)
-    words = paras.select("doc_id", "para_idx", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    hit = words.join(wanted, "word").filter(F.contains("text", "needle"))
-    order = Window.partitionBy("item_id").orderBy(T.is_contents_line(F.col("text")).cast("int"), "doc_id", "para_idx")
-    return hit.withColumn("k", F.row_number().over(order)).filter("k = 1").select("item_id", "doc_id", "para_idx")
+    wanted = items.select("item_id", needle.alias("needle")).filter("needle <> ''").withColumn("word", _inner_word(F.col("needle")))
+    words = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    near = words.join(wanted.filter("word is not null"), "word").select("item_id", "needle", "doc_id", "para_idx")
+    bare = wanted.filter("word is null").select("item_id", "needle")
+    sizes = [r["size"] for r in bare.select(F.length("needle").alias("size")).distinct().collect()]  # at most NEEDLE numbers
+    if sizes:
+        starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
+        pieces = F.flatten(F.array(*[F.transform(starts(n), _piece(n)) for n in sorted(sizes)]))
+        met = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(pieces)).alias("needle")).join(bare, "needle").select("item_id", "needle", "doc_id", "para_idx")
+        near = near.unionByName(met)
+    hit = near.join(paras.select("doc_id", "para_idx", "text"), ["doc_id", "para_idx"]).filter(F.contains("text", "needle"))
+    order = F.struct(T.is_contents_line(F.col("text")).cast("int"), "doc_id", "para_idx")
+    return hit.groupBy("item_id").agg(F.min_by(F.struct("doc_id", "para_idx"), order).alias("p")).select("item_id", "p.*")
 
 
 def annotation_plan(spans: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def top_n(rows: DataFrame, n: int = 500) -> DataFrame:
 def scored(rows: DataFrame) -> DataFrame:
     """score: weight of the severity, 0.5 for two or more issues in the group, 0.5 for a chapter hit by three or more categories."""
     group = F.count("*").over(Window.partitionBy("doc_id", "group_id"))
-    chapters = rows.groupBy("doc_id", "chapter").agg(F.countDistinct("category").alias("kinds"))
-    joined = rows.withColumn("in_group", group).join(chapters, ["doc_id", "chapter"])
+    kinds = F.size(F.collect_set("category").over(Window.partitionBy("doc_id", "chapter")))  # the categories are few and fixed
+    joined = rows.withColumns({"in_group": group, "kinds": kinds})
     score = mapped(F.col("severity"), SEVERITY_WEIGHT, 0.0) + F.when(F.col("in_group") >= 2, 0.5).otherwise(0.0) + F.when(F.col("kinds") >= 3, 0.5).otherwise(0.0)
     return joined.withColumn("score", score)
 

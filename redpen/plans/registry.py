@@ -56,7 +56,7 @@ def _paras(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
-    return N.with_groups(N.issues(table(spark, d, "documents"), _paras(spark, d)))
+    return N.with_groups(N.issues(table(spark, d, "documents")))
 
 
 @query(f"WITH {PARAS} SELECT doc_id, para_idx, length(text) AS length, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM paras")
@@ -215,7 +215,7 @@ def report_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH p AS (SELECT doc_id, unnest(range(len(l))) AS para_idx, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), "
        "w AS (SELECT item_id, substr(trim(text, ' ' || chr(10)), 1, 30) AS needle FROM benchmark) "
-       "SELECT item_id, doc_id, para_idx FROM (SELECT w.item_id, p.doc_id, p.para_idx, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN length(text) <= 100 AND length(trim(text)) < 80 AND regexp_matches(text, '[0-9]{1,4}\\s*$') THEN 1 ELSE 0 END, doc_id, para_idx) AS k FROM p JOIN w ON contains(p.text, w.needle) WHERE needle <> '' AND len(string_split(needle, ' ')) >= 3) WHERE k = 1")
+       "SELECT item_id, doc_id, para_idx FROM (SELECT w.item_id, p.doc_id, p.para_idx, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN length(text) <= 100 AND length(trim(text)) < 80 AND regexp_matches(text, '[0-9]{1,4}\\s*$') THEN 1 ELSE 0 END, doc_id, para_idx) AS k FROM p JOIN w ON contains(p.text, w.needle) WHERE needle <> '') WHERE k = 1")
 def anchor_first_hit(spark: SparkSession, d: str) -> DataFrame:
     """First place in the corpus of each benchmark item's beginning."""
     return L.first_hits(table(spark, d, "benchmark"), _paras(spark, d))
@@ -354,7 +354,7 @@ def run_status(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "n", (F.col("n") > 100).alias("over_cap"), status.alias("status"))
 
 
-@query("WITH k AS (SELECT DISTINCT url AS key FROM pages WHERE starts_with(url, 'https://') ORDER BY key LIMIT 51) SELECT key, (SELECT count(*) FROM k) > 50 AS is_truncated FROM (SELECT * FROM k ORDER BY key LIMIT 50)")
+@query("WITH k AS (SELECT DISTINCT url AS key FROM pages WHERE starts_with(url, 'https://') ORDER BY key LIMIT 51), p AS (SELECT * FROM k ORDER BY key LIMIT 50) SELECT key, (SELECT count(*) FROM k) > 50 AS is_truncated, CASE WHEN (SELECT count(*) FROM k) > 50 THEN (SELECT max(key) FROM p) END AS next_token FROM p")
 def listing_first_page(spark: SparkSession, d: str) -> DataFrame:
     """First page of a listing by prefix."""
     return listing_page(table(spark, d, "pages"), "url", "https://", 50)

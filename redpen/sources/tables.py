@@ -10,9 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, text): the lines of each text. Null texts have none."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long"))
+def paragraphs(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, *carry, para_idx, text): the lines of each text. Null texts have none."""
+    return docs.select("doc_id", *carry, F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "text")).withColumn("para_idx", F.col("para_idx").cast("long"))
 
 
 def with_offsets(paras: DataFrame, gap: int = 2) -> DataFrame:
@@ -22,8 +22,10 @@ def with_offsets(paras: DataFrame, gap: int = 2) -> DataFrame:
 
 
 def listing_page(keys: DataFrame, key: str, prefix: str, size: int, after: str = "") -> DataFrame:
-    """One page of a listing by keyset: keys with the prefix after a token, whether there are more, and the next token."""
+    """One page of a listing by keyset: (key, is_truncated, next_token) of keys with the prefix after a token; the next token is the page's
+    last key if there are more. The windows see at most size + 1 rows."""
     rows = keys.filter(F.col(key).startswith(prefix) & (F.col(key) > after)).select(F.col(key).alias("key")).distinct().orderBy("key").limit(size + 1)
-    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy("key")))
-    total = numbered.agg(F.max("n").alias("total"))
-    return numbered.crossJoin(F.broadcast(total)).filter(F.col("n") <= size).select("key", (F.col("total") > size).alias("is_truncated"))
+    page = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    more = F.count("*").over(page) > size
+    numbered = rows.select("key", F.row_number().over(Window.orderBy("key")).alias("n"), more.alias("is_truncated"), F.when(more, F.nth_value("key", size).over(page)).alias("next_token"))
+    return numbered.filter(F.col("n") <= size).select("key", "is_truncated", "next_token")

@@ -82,3 +82,9 @@ def test_anchor_prefers_body_and_never_falls_to_index(spark):
     anchors = spark.createDataFrame([(1, 1, "alpha beta", 0), (1, 2, "missing", 9), (1, 3, "", 9), (1, 4, "beta 12", 0)], "doc_id long, seq long, anchor_text string, para_idx long")
     got = {r["seq"]: (r["place"], r["how"]) for r in locate.cascade(anchors, paras).collect()}
     assert got == {1: (9, "anchor"), 2: (0, "fallback"), 3: (9, "index"), 4: (2, "anchor")}
+
+
+def test_first_hits_without_an_inner_word(spark):
+    paras = spark.createDataFrame([(1, 0, "nothing"), (1, 1, "前文目标文字后文"), (2, 0, "see http://a.example/long/path here"), (3, 0, "one two three four")], "doc_id long, para_idx long, text string")
+    items = spark.createDataFrame([(1, "目标文字"), (2, "http://a.example/long"), (3, "one two three"), (4, "absent"), (5, "  "), (6, None)], "item_id long, text string")
+    assert {tuple(r) for r in locate.first_hits(items, paras).collect()} == {(1, 1, 1), (2, 2, 0), (3, 3, 0)}
