@@ -1,10 +1,8 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed; Spark counts how often it recurs on the pages of its host, and the
-recurring ones are deleted. Two counts decide:
-
-- Outside the flow of an article, a subtree on LEAST_PAGES different pages or more belongs to the site.
-- Inside it, it takes LEAST_SHARE of all the host's pages as well.
+Every element's subtree is hashed; Spark counts on how many different pages of its host it stands. What
+stands on LEAST_PAGES of them or more, and on LEAST_SHARE of the host's pages, belongs to the site and is
+deleted from articles too. A host's template is no larger than a page's subtrees over that share.
 
 Pages are told apart by a MinHash of their longest block, so copies and near copies of a page count
 as one, and what they have in common is not taken for the site's, however many copies there are.
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 
 from redpen.llm.base import BROADCAST_ROWS, small_batches, written
 
-#: Different pages, and inside an article's flow also the share of the host's pages, from which a subtree belongs to the site.
+#: Different pages, and share of the host's pages, from which a subtree belongs to the site.
 LEAST_PAGES, LEAST_SHARE = 4, 0.5
 #: Elements open at once; deeper ones are taken as flat (their text stays), as browsers do.
 DEPTH = 256
@@ -83,8 +81,8 @@ class Page:
 
     def __init__(self, html: str):
         self.pieces: list[str | None] = []
-        #: (first piece, end piece, subtree hash, tag, is never article text, stands in an article)
-        self.elements: list[tuple[int, int, int, str, bool, bool]] = []
+        #: (first piece, end piece, subtree hash or 0 where it can't belong to a template, tag, is never article text)
+        self.elements: list[tuple[int, int, int, str, bool]] = []
         self._longest = ""
         self._open: list[list] = []
         self._named: Counter = Counter()  # open elements by tag
@@ -94,7 +92,6 @@ class Page:
         self._parse(html)
         while self._open:
             self._close()
-        self.has_article = any(tag in ("article", "main") and not never for _, _, _, tag, never, _ in self.elements)
 
     def _parse(self, html: str) -> None:
         at, n, last, quoting = 0, len(html), html.rfind(">"), True
@@ -111,9 +108,12 @@ class Page:
                 stop = html.find("-->", start + 2)
                 at = n if stop < 0 else stop + 3
                 continue
+            if start > last:  # no tag can end any more
+                self._text(html[start:])
+                return
             close = html.startswith("/", start + 1)
             name = _TAG_NAME.match(html, start + 1 + close)
-            if start > last or not (name or html[start + 1 : start + 2] in ("!", "?", "/")):
+            if not (name or html[start + 1 : start + 2] in ("!", "?", "/")):
                 self._text("<")  # no tag
                 at = start + 1
                 continue
@@ -170,9 +170,9 @@ class Page:
         soft = tag == "form" or (not never and tag not in ("html", "body", "main") and _marked(" ".join(known.get(k, "") for k in ("class", "id", "role")), _COMMENT_MARKS if tag == "article" else _MARKS))
         main = (tag == "article" or tag == "main" or known.get("role") == "main") and not soft
         self._heads += main or tag == "h1"
-        self._open.append([tag, len(self.pieces), never, [], main, soft, self._heads - (main or tag == "h1"), bool(self._articles)])
+        self._open.append([tag, len(self.pieces), never, [], main, soft, self._heads - (main or tag == "h1")])
         self._articles += main
-        self._nevers += never or soft
+        self._nevers += never or (soft and tag != "form")
         self._named[tag] += 1
         if tag in _INLINE:
             self._inline[-1][tag] += 1
@@ -206,10 +206,10 @@ class Page:
                 return
 
     def _close(self) -> None:
-        tag, first, never, parts, main, soft, heads, inside = self._open.pop()
+        tag, first, never, parts, main, soft, heads = self._open.pop()
         self._named[tag] -= 1
         self._articles -= main
-        self._nevers -= never or soft
+        self._nevers -= never or (soft and tag != "form")
         if tag in _INLINE:
             self._inline[-1][tag] -= 1
         else:
@@ -217,7 +217,8 @@ class Page:
             self.pieces.append(None)
         never = never or (soft and self._heads == heads)
         value = _digest("\x00".join([tag, *parts])) if any(parts) else 0  # names vary (`active`)
-        self.elements.append((first, len(self.pieces), value, "main" if main and tag != "article" else tag, never, inside))
+        counts = value and not never and not self._nevers and tag not in _PAGE and tag not in _INLINE
+        self.elements.append((first, len(self.pieces), value if counts else 0, "main" if main and tag != "article" else tag, never))
         if self._open and value:
             self._open[-1][3].append(f"\x01{value}")
         if tag not in _INLINE and not never and not self._nevers:
@@ -225,37 +226,25 @@ class Page:
             if len(own) > len(self._longest):
                 self._longest = own
 
-    def _recurring(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(first piece, end piece, subtree, stands in a flow) of what can belong to a template: blocks with text, but not page roots. Where a page
-        has no article, all that isn't marked is its flow."""
-        for first, end, h, tag, never, inside in self.elements:
-            if h and tag not in _PAGE and tag not in _INLINE:
-                flow = not never and (inside or not self.has_article)
-                yield first, end, h, flow
-
     def subtrees(self) -> set[int]:
-        return {h for _, _, h, _ in self._recurring()}
+        """Hashes of what can belong to a template: blocks with text, but no page roots and nothing that goes anyway."""
+        return {h for _, _, h, _, _ in self.elements if h}
 
     def key(self) -> int:
         """What tells the page from others: the least hash of three words in a row in its longest block."""
         words = self._longest.split(" ")
         return min((_digest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))), default=0)
 
-    def text(self, template: dict[int, bool]) -> str:
-        """Text of the articles (else of main, else of the body) without what is never article text and without the template: subtrees, and
-        whether they go from an article's flow as well."""
+    def text(self, template: set[int]) -> str:
+        """Text of the articles (else of main, else of the body) without what is never article text and without the template."""
         gone = bytearray(len(self.pieces) + 1)
-        for first, end, _, _, never, _ in self.elements:
-            if never:
+        for first, end, h, _, never in self.elements:
+            if never or h in template:
                 gone[first:end] = b"\x01" * (end - first)
-        if template:
-            for first, end, h, flow in self._recurring():
-                if template.get(h, False) if flow else h in template:
-                    gone[first:end] = b"\x01" * (end - first)
         kept = None
         for kind in ("article", "main"):
             spans: list[tuple[int, int]] = []
-            for first, end in sorted((first, -end) for first, end, _, tag, _, _ in self.elements if tag == kind and not gone[first]):
+            for first, end in sorted((first, -end) for first, end, _, tag, _ in self.elements if tag == kind and not gone[first]):
                 if not spans or first >= spans[-1][1]:  # the outer ones
                     spans.append((first, -end))
             if any(isinstance(p, str) and p.strip() for a, b in spans for k, p in enumerate(self.pieces[a:b], a) if not gone[k]):
@@ -279,7 +268,7 @@ def _host():
 
 
 def template_subtrees(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
-    """(host, subtree, everywhere) of the subtrees that belong to the host's template; everywhere: inside an article's flow as well.
+    """(host, subtree) of the subtrees that belong to the host's template.
 
     Counted are distinct contexts, so copies of a page count once; rows are combined before they are shuffled.
     """
@@ -298,7 +287,7 @@ def template_subtrees(pages: DataFrame, least: int = LEAST_PAGES, share: float =
     counts = rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     counts = written(counts.filter((F.col("n") >= least) | (F.col("subtree") == 0)), "subtrees")
     total = counts.filter("subtree = 0").select("host", F.col("n").alias("total"))
-    return counts.filter(F.col("subtree") != 0).filter(F.col("n") >= least).join(total, "host").select("host", "subtree", (F.col("n") >= share * F.col("total")).alias("everywhere"))
+    return counts.filter(F.col("subtree") != 0).filter(F.col("n") >= least).join(total, "host").filter(F.col("n") >= share * F.col("total")).select("host", "subtree")
 
 
 def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_SHARE) -> DataFrame:
@@ -309,13 +298,13 @@ def main_text(pages: DataFrame, least: int = LEAST_PAGES, share: float = LEAST_S
     join on the host, whose large partitions Spark splits.
     """
     found = written(template_subtrees(pages, least, share), "template")
-    lists = found.groupBy("host").agg(F.collect_list(F.struct("subtree", "everywhere")).alias("template"))
+    lists = found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = pages.select("page_id", "url", "html", _host().alias("host")).join(F.broadcast(lists) if few else lists, "host", "left").select("page_id", "url", "html", "template")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h).text({x["subtree"]: x["everywhere"] for x in t or ()}) if h else "" for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
+            texts = [Page(h).text(set(t or ())) if h else "" for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(extract, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -50,10 +50,10 @@ def test_empty_tables(spark):
 
 def test_html_blocks():
     page = '<html><head><title>t</title></head><body><nav>menu</nav><header>Site</header><div class="cookie-notice">we use</div><article class="post"><header><h1>T &amp; x</h1></header><p>a  b<b>c</b>d<br>e<p>para &lt;two&gt;<ul><li>x<li>y</ul><div class=ad>buy</div><div id="comments"><p>hi</p></div><form>q</form></article><aside>s</aside><footer>f</footer><script>if(a<b){"</p>"}</script></body></html>'
-    assert html.Page(page).text({}) == "T & x\n\na bcd e\n\npara <two>\n\nx\n\ny"
-    assert html.Page('plain <b>te</b>xt &nbsp; x<p>y').text({}) == "plain text x\n\ny"
+    assert html.Page(page).text(set()) == "T & x\n\na bcd e\n\npara <two>\n\nx\n\ny"
+    assert html.Page('plain <b>te</b>xt &nbsp; x<p>y').text(set()) == "plain text x\n\ny"
     for broken in ("<p a='x", "<!-- never closed", "<", "</p></b>", "<script>x", "<b>" * 5000 + "deep"):
-        html.Page(broken).text({})
+        html.Page(broken).text(set())
 
 
 def test_html_template_subtrees(spark):
@@ -101,16 +101,16 @@ def test_html_malformed_pages_in_linear_time():
     for shape in ("<p", "<", '<a b="', "<a b='>", '<a b=">" ', "<div><b>", "<td><b><h1>", "<!--", "<script>", "<i><div><b>", '<div class="ad ', '<x"'):
         for tail in ("", ">", "</div></i>" * 1000):
             began = time.perf_counter()
-            page = html.Page(shape * ((1 << 20) // len(shape)) + tail)
-            page.subtrees(), page.key(), page.text({1: True})
-            assert time.perf_counter() - began < 20, shape
+            page = html.Page(shape * ((1 << 18) // len(shape)) + tail)
+            page.subtrees(), page.key(), page.text({1})
+            assert time.perf_counter() - began < 10, shape
 
 
 def test_html_class_words():
     for name, gone in (("content ad-free", False), ("text-menu", False), ("social-policy", False), ("cookie-notice", True), ("siteFooter", True), ("ad_slot_3", True), ("post-comments", True)):
-        assert html.Page(f"<div class='{name}'>x y</div><p>z</p>").text({}) == ("z" if gone else "x y\n\nz"), name
-    assert html.Page("<form><h1>T</h1><p>x</p><input><button>go</button></form>").text({}) == "T\n\nx"
-    assert html.Page("<p>x</p><form><p>Your name</p><input></form>").text({}) == "x"
+        assert html.Page(f"<div class='{name}'>x y</div><p>z</p>").text(set()) == ("z" if gone else "x y\n\nz"), name
+    assert html.Page("<form><h1>T</h1><p>x</p><input><button>go</button></form>").text(set()) == "T\n\nx"
+    assert html.Page("<p>x</p><form><p>Your name</p><input></form>").text(set()) == "x"
 
 
 # Chat
