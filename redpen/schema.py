@@ -1,4 +1,4 @@
-"""Dimension tables and schemas of the issue contract. The values are fixed by the format."""
+"""Dimension tables of the issue contract. The values are fixed by the format."""
 
 from __future__ import annotations
 
@@ -13,8 +13,3 @@ SEVERITY_RANK = {"fatal": 0, "major": 1, "minor": 2}
 SEVERITY_WEIGHT = {"fatal": 3.0, "major": 2.0, "minor": 1.0}
 SEVERITY_LABEL = {"fatal": "致命", "major": "重要", "minor": "轻微"}
 SCOPES = ("document", "chapter", "paragraph", "sentence", "span")
-
-ISSUE = (
-    "doc_id bigint, seq bigint, id string, source string, category string, severity string, scope string, "
-    "chapter string, para_idx bigint, excerpt string, anchor_text string, problem string, suggestion array<string>, group_id string"
-)
