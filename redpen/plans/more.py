@@ -383,3 +383,12 @@ def stage_events(spark: SparkSession, d: str) -> DataFrame:
     """Progress events by hour and kind."""
     hour = F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("hour_us")
     return table(spark, d, "events").groupBy(hour, "event_type").agg(F.count("*").alias("n"))
+
+
+# Excerpts
+
+
+@query(f"WITH {PARAS} SELECT doc_id, para_idx, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS excerpt FROM paras WHERE length(text) > 60")
+def clamped_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs cut to an excerpt's length."""
+    return _paras(spark, d).filter(F.length("text") > 60).select("doc_id", "para_idx", T.clamp(F.col("text"), 60, "...").alias("excerpt"))
