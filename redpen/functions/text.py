@@ -101,3 +101,66 @@ def mapped(c: Column, values: dict, default) -> Column:
     for k, v in values.items():
         out = F.when(c == k, F.lit(v)).otherwise(out)
     return out
+
+
+def cut_file_name(name: Column, most: int = 180, reserve: int = 30) -> Column:
+    """A file name whose stem has at most `most` - reserve bytes of UTF-8 less its suffix (ten at least): whole characters only, suffix kept.
+
+    A cut that ends just after a character of several bytes loses that character too. An empty name is 'document'."""
+    suffix = F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
+    room = F.greatest(F.lit(most - reserve) - F.octet_length(suffix), F.lit(10))
+    fits = lambda k: F.octet_length(F.left(stem, k)) + F.when(F.octet_length(F.substring(stem, k, F.lit(1))) > 1, 1).otherwise(0) <= room
+    size = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(stem), room)), lambda k: (k == 0) | fits(k)))
+    cut = F.when(F.octet_length(stem) <= room, name).otherwise(F.concat(F.left(stem, size), suffix))
+    return F.when(F.coalesce(name, F.lit("")) == "", "document").otherwise(cut)
+
+
+#: Chinese digits by value, and the two powers of ten. The values are fixed by the script.
+DIGITS = "零一二三四五六七八九"
+POWERS = {"十": 10, "百": 100}
+
+
+def numeral(c: Column) -> Column:
+    """Value of a Chinese numeral below 1000; other characters count as the digit 0, so a text without numerals gives 0."""
+    digit = lambda ch: F.greatest(F.instr(F.lit(DIGITS), ch) - 1, F.lit(0))
+    power = lambda ch: mapped(ch, POWERS, 0)
+
+    def step(acc: Column, ch: Column) -> Column:
+        closed = acc["total"] + F.when(acc["open"] == 0, 1).otherwise(acc["open"]) * power(ch)
+        return F.when(power(ch) > 0, F.struct(closed.alias("total"), F.lit(0).alias("open"))).otherwise(F.struct(acc["total"].alias("total"), (acc["open"] * 10 + digit(ch)).alias("open")))
+
+    zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("open"))
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), zero, step, lambda acc: acc["total"] + acc["open"]).cast("long")
+
+
+#: Ends that a truncated JSON text is cut after, in the order in which they are tried. The values are fixed by the format.
+JSON_ENDS = ("],", "},", '",', "null,", "true,", "false,")
+
+
+def repaired_json(c: Column) -> Column:
+    """A truncated JSON text cut after its last complete part, without a dangling key, with closing brackets. It may still be invalid."""
+
+    def end(m: str) -> Column:
+        at = F.length(c) - F.instr(F.reverse(c), F.lit(m[::-1])) - len(m) + 2
+        return F.when(F.contains(c, F.lit(m)) & (at > 1), F.left(c, (at + len(m) - 1).cast("int")))
+
+    cut = F.coalesce(*[end(m) for m in JSON_ENDS], c)
+    cut = F.regexp_replace(cut, r',?\s*"[^"]*"\s*:\s*"[^"]*$', "")
+    cut = F.regexp_replace(cut, r',?\s*"[^"]*"\s*:\s*\S+$', "")
+    left = F.length(F.regexp_replace(cut, r"[^{\[]", "")) - F.length(F.regexp_replace(cut, r"[^}\]]", ""))
+    first = F.when(cut.rlike(r"[\]}]\s*$"), "}").otherwise("]")
+    return F.when(left > 0, F.concat(cut, first, F.repeat(F.lit("}"), left - 1))).otherwise(cut)
+
+
+def escaped(c: Column) -> Column:
+    """Text for an XML element."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def suggestions(c: Column) -> Column:
+    """At most five suggestions of at most 500 characters; an empty or missing list gets a placeholder."""
+    filled = F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array(F.lit("(no suggestion)")))
+    return F.slice(F.transform(filled, lambda s: F.substring(s, 1, 500)), 1, 5)

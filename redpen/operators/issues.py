@@ -55,6 +55,37 @@ def violations(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "seq", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("v")).select("doc_id", "seq", "v.*")
 
 
+CELL = ("table_index", "row", "col", "paragraph_index_in_cell")
+REQUIRED = ("id", "source", "category", "severity", "scope", "excerpt", "problem", "suggestion", "group_id", "anchor_text")
+
+
+def _place_rules(pdf: bool) -> list[tuple[Column, str]]:
+    """Rules on required fields, suggestions and places, in the order in which messages are given."""
+    present = sum((F.col(k).isNotNull().cast("int") for k in CELL), F.lit(0))
+    cell = present == len(CELL)
+    sizes = F.transform("suggestion", lambda s: F.length(s))
+    return [
+        *[(F.col(k).isNull(), f"missing {k}") for k in REQUIRED],
+        (~F.size("suggestion").between(1, 5) & F.col("suggestion").isNotNull(), "suggestion count"),
+        (F.exists(sizes, lambda n: n > 500), "suggestion length"),
+        (F.exists(sizes, lambda n: n == 0), "suggestion empty"),
+        (present.between(1, len(CELL) - 1), "cell keys together"),
+        (cell & (F.coalesce("para_idx", F.lit(0)) != -1), "cell paragraph index"),
+        *[(cell & (F.col(k) < 0), f"cell {k}") for k in CELL],
+        (F.lit(pdf) & F.col("page_number").isNull(), "page number missing"),
+        (F.col("page_number") < 1, "page number"),
+        (F.col("bbox").isNotNull() & (F.size("bbox") != 4), "box"),
+        (F.col("sentence_index") < 0, "sentence index"),
+        (F.col("char_offset_in_paragraph") < 0, "character offset"),
+    ]
+
+
+def place_violations(rows: DataFrame, pdf: bool = True) -> DataFrame:
+    """(doc_id, seq, rule_no, message) for the rules on required fields, suggestions and places; nulls violate only where a value is required."""
+    told = F.array(*[F.when(bad, F.struct(F.lit(k).alias("rule_no"), F.lit(m).alias("message"))) for k, (bad, m) in enumerate(_place_rules(pdf))])
+    return rows.select("doc_id", "seq", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("v")).select("doc_id", "seq", "v.*")
+
+
 def duplicate_ids(rows: DataFrame, key: str = "id") -> DataFrame:
     """Second and later rows of an id in a document."""
     k = F.row_number().over(Window.partitionBy("doc_id", key).orderBy("seq"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.functions.text import mapped, table_cell
-from redpen.schema import SEVERITY_LABEL, SEVERITY_RANK
+from redpen.schema import CATEGORIES, SEVERITY_LABEL, SEVERITY_RANK
 
 
 def reports(rows: DataFrame) -> DataFrame:
@@ -16,6 +16,19 @@ def reports(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(ordered.alias("lines")).select("doc_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("report"))
 
 
+def sectioned_reports(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, n_filled, report): a section for each category of the contract, also where nothing was found, for every document.
+
+    Lines are ordered by severity, then position. The categories are a fixed list inside the row, so no join multiplies rows."""
+    line = F.struct(mapped(F.col("severity"), SEVERITY_RANK, 99).alias("rank"), "seq", F.concat(F.lit("- "), "id", F.lit(": "), "excerpt").alias("line"))
+    lines = rows.groupBy("doc_id", "category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))
+    filled = lines.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "lines"))).alias("of"))
+    section = lambda c: F.concat(F.lit("## "), c, F.lit("\n"), F.coalesce(F.try_element_at("of", c), F.lit("(nothing found)")))
+    sections = F.transform(F.array(*[F.lit(c) for c in CATEGORIES]), section)
+    report = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.array_join(sections, "\n"))
+    return docs.select("doc_id").join(filled, "doc_id", "left").select("doc_id", F.coalesce(F.size("of"), F.lit(0)).cast("long").alias("n_filled"), report.alias("report"))
+
+
 def attach_headings(paras: DataFrame, is_heading: Column) -> DataFrame:
     """(doc_id, para_idx, heading): the last heading at or before each paragraph; null before the first."""
     before = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)

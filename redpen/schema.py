@@ -13,3 +13,5 @@ SEVERITY_RANK = {"fatal": 0, "major": 1, "minor": 2}
 SEVERITY_WEIGHT = {"fatal": 3.0, "major": 2.0, "minor": 1.0}
 SEVERITY_LABEL = {"fatal": "致命", "major": "重要", "minor": "轻微"}
 SCOPES = ("document", "chapter", "paragraph", "sentence", "span")
+#: Tags that say what an issue's evidence is.
+EVIDENCE = ("联网核实", "原文核对", "文本分析", "OOXML分析", "实质性硬伤", "元层评估", "规则依据")
