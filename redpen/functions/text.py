@@ -139,7 +139,7 @@ JSON_ENDS = ("],", "},", '",', "null,", "true,", "false,")
 
 
 def repaired_json(c: Column) -> Column:
-    """A truncated JSON text cut after its last complete part, without a dangling key, with closing brackets. It may still be invalid."""
+    """A truncated JSON text cut after its last complete part, without a dangling key, with closing brackets. It may still be invalid; valid JSON stays."""
 
     def end(m: str) -> Column:
         at = F.length(c) - F.instr(F.reverse(c), F.lit(m[::-1])) - len(m) + 2
@@ -150,7 +150,8 @@ def repaired_json(c: Column) -> Column:
     cut = F.regexp_replace(cut, r',?\s*"[^"]*"\s*:\s*\S+$', "")
     left = F.length(F.regexp_replace(cut, r"[^{\[]", "")) - F.length(F.regexp_replace(cut, r"[^}\]]", ""))
     first = F.when(cut.rlike(r"[\]}]\s*$"), "}").otherwise("]")
-    return F.when(left > 0, F.concat(cut, first, F.repeat(F.lit("}"), left - 1))).otherwise(cut)
+    closed = F.when(left > 0, F.concat(cut, first, F.repeat(F.lit("}"), left - 1))).otherwise(cut)
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(closed)
 
 
 def escaped(c: Column) -> Column:

@@ -262,12 +262,12 @@ _ENDS = [e for e in T.JSON_ENDS]
 _CUT = "coalesce(" + ", ".join(f"CASE WHEN strpos(reverse(j), '{e[::-1]}') > 0 AND length(j) - strpos(reverse(j), '{e[::-1]}') - {len(e)} + 1 > 0 THEN left(j, length(j) - strpos(reverse(j), '{e[::-1]}') + 1) END" for e in _ENDS) + ", j)"
 _SHAPES = """CASE event_id % 6 WHEN 0 THEN '{"n":null,"issues":[' || props || ',' || props || ']}' WHEN 1 THEN '["' || event_type || '","' || event_type || '","x"]' WHEN 2 THEN '[[' || event_id || '],[' || user_id || '],[1]]'
   WHEN 3 THEN '{"p":' || props || ',"flag":true,"name":"' || event_type || '"}' WHEN 4 THEN '[true,false,null,' || user_id || ']' ELSE '{"k":' || event_id || '}' END"""
-_FIXED_JSON = f"""cuts AS (SELECT event_id, regexp_replace(regexp_replace({_CUT}, ',?\\s*"[^"]*"\\s*:\\s*"[^"]*$', ''), ',?\\s*"[^"]*"\\s*:\\s*\\S+$', '') AS c FROM (SELECT event_id, left(j, length(j) - event_id % 7) AS j FROM (SELECT event_id, {_SHAPES} AS j FROM events))),
-  counted AS (SELECT event_id, c, len(regexp_extract_all(c, '[{{\\[]')) - len(regexp_extract_all(c, '[}}\\]]')) AS n FROM cuts),
-  mended AS (SELECT event_id, CASE WHEN n > 0 THEN c || CASE WHEN regexp_matches(c, '[\\]}}]\\s*$') THEN '}}' ELSE ']' END || repeat('}}', n - 1) ELSE c END AS repaired FROM counted)"""
+_FIXED_JSON = f"""cuts AS (SELECT event_id, j, regexp_replace(regexp_replace({_CUT}, ',?\\s*"[^"]*"\\s*:\\s*"[^"]*$', ''), ',?\\s*"[^"]*"\\s*:\\s*\\S+$', '') AS c FROM (SELECT event_id, left(j, length(j) - event_id % 7) AS j FROM (SELECT event_id, {_SHAPES} AS j FROM events))),
+  counted AS (SELECT event_id, j, c, len(regexp_extract_all(c, '[{{\\[]')) - len(regexp_extract_all(c, '[}}\\]]')) AS n FROM cuts),
+  mended AS (SELECT event_id, CASE WHEN json_valid(j) THEN j WHEN n > 0 THEN c || CASE WHEN regexp_matches(c, '[\\]}}]\\s*$') THEN '}}' ELSE ']' END || repeat('}}', n - 1) ELSE c END AS repaired FROM counted)"""
 
 
-@query(f"WITH {_FIXED_JSON} SELECT event_id, repaired, json_valid(repaired) AS valid FROM mended")
+@query(f"WITH {_FIXED_JSON} SELECT event_id, repaired, json_valid(repaired) AND NOT regexp_matches(repaired, ',\\s*[\\]}}]') AS valid FROM mended")
 def json_repaired(spark: SparkSession, d: str) -> DataFrame:
     """JSON texts of six shapes cut off at different places, mended, and whether they can be read then."""
     s = F.col("event_id") % 6
