@@ -28,9 +28,15 @@ def repeated_paragraphs(paras: DataFrame) -> DataFrame:
 
 
 def duplicate_signatures(docs: DataFrame) -> DataFrame:
-    """(signature, n, first_id, ids) of equal texts: grouped count with having; ids in order, joined by commas."""
-    rows = docs.filter("text is not null").groupBy(F.md5("text").alias("signature")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return rows.filter("n > 1").select("signature", "n", "first_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    """(signature, n, first_id) of equal texts: grouped count with having."""
+    rows = docs.filter("text is not null").groupBy(F.md5("text").alias("signature")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return rows.filter("n > 1")
+
+
+def duplicate_members(docs: DataFrame) -> DataFrame:
+    """(signature, doc_id, first_id): a row for each text that another equals, so no group is collected into one row."""
+    rows = docs.select("doc_id", F.md5("text").alias("signature"))
+    return rows.join(duplicate_signatures(docs).drop("n"), "signature")
 
 
 def issues(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redpen.functions.text import clamp
 from redpen.schema import CATEGORIES, SCOPES, SEVERITIES, SOURCES
 
 
@@ -16,10 +17,9 @@ def normalise(rows: DataFrame) -> DataFrame:
     severity = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("minor")
     scope = F.when(F.col("scope").isin(*SCOPES), F.col("scope")).otherwise("paragraph")
     filled = F.when(F.coalesce("excerpt", F.lit("")) == "", F.substring("anchor_text", 1, 60)).otherwise(F.col("excerpt"))
-    cut = F.when(F.length(filled) > 60, F.concat(F.substring(filled, 1, 57), F.lit("..."))).otherwise(filled)
     out = rows.withColumns({"source": source, "category": category, "severity": severity, "scope": scope})
     out = out.withColumns({
-        "excerpt": F.when(F.col("scope").isin("document", "chapter"), "").otherwise(F.coalesce(cut, F.lit(""))),
+        "excerpt": F.when(F.col("scope").isin("document", "chapter"), "").otherwise(F.coalesce(clamp(filled, 60, "..."), F.lit(""))),
         "anchor_text": F.coalesce(F.substring("anchor_text", 1, 60), F.lit("")),
         "problem": F.when(F.trim(F.coalesce("problem", F.lit(""))) == "", "(no description)").otherwise(F.substring("problem", 1, 200)),
         "chapter": F.when(F.coalesce("chapter", F.lit("")) == "", "(none)").otherwise(F.col("chapter")),

@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.functions.text import mapped
 from redpen.schema import SEVERITY_RANK, SEVERITY_WEIGHT, SUBSTANTIVE
 
 
+#: Width of the key ranges that running sums are cut into.
+RANGE = 65_536
+
+
+def running_sum(rows: DataFrame, part: str, key: Column, value: Column, order: list, name: str, width: int = RANGE) -> DataFrame:
+    """Rows with the sum of value over those at or before them in their part; order has to begin with the integer key.
+
+    Two levels: sums within ranges of the key, and, over one row for each range, what lies before it. So a part that holds
+    a third of all rows is no single task. Null parts and keys are groups of their own."""
+    cut = rows.withColumns({"_range": F.floor(key / width), "_value": value})
+    sums = cut.groupBy(F.col(part).alias("_part"), F.col("_range").alias("_of")).agg(F.sum("_value").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_part").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    base = sums.select("_part", "_of", F.coalesce(before, F.lit(0)).alias("_base"))
+    inside = F.sum("_value").over(Window.partitionBy(part, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = cut.withColumn("_inside", inside).join(base, F.col(part).eqNullSafe(F.col("_part")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, (F.col("_base") + F.col("_inside")).cast("long")).select(*rows.columns, name)
+
+
 def severity_counts(rows: DataFrame) -> DataFrame:
     """One row for each document with all three counts, zeros included."""
     return rows.groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITY_RANK], F.count("*").alias("n_all"))

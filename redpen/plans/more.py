@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from redpen.functions import text as T
 from redpen.operators import crossref as X
+from redpen.operators import rank as R
 from redpen.plans.registry import _BROKEN, ALL, PARAS, _broken, _issues, _paras, query
 from redpen.schema import SEVERITY_LABEL
-from redpen.sources.tables import table
+from redpen.sources.tables import paragraphs, table
 from redpen.streaming import runs as S
 
 # Sources and sinks
@@ -45,8 +46,8 @@ def relationship_ids(spark: SparkSession, d: str) -> DataFrame:
     """Entries that are missing get the ids after the highest one of their list (here: customers without an urgent order, by nation)."""
     missing = table(spark, d, "customer").select("c_nationkey", "c_custkey").join(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     highest = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.max("s_suppkey").alias("highest"))
-    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return missing.join(highest, "c_nationkey").select("c_nationkey", "c_custkey", (F.col("highest") + k).alias("new_id"))
+    numbered = R.running_sum(missing.select("c_nationkey", "c_custkey"), "c_nationkey", F.col("c_custkey"), F.lit(1), ["c_custkey"], "k")
+    return numbered.join(highest, "c_nationkey").select("c_nationkey", "c_custkey", (F.col("highest") + F.col("k")).alias("new_id"))
 
 
 @query(
@@ -191,12 +192,12 @@ def same_position(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("before is not null")
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(list_intersect(string_split(l[1], ' '), string_split(l[2], ' ')))) AS BIGINT) AS n_common FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) >= 2")
+@query(f"WITH {PARAS} SELECT p.doc_id, p.para_idx, CAST(len(list_distinct(list_intersect(string_split(t.text, ' '), string_split(p.text, ' ')))) AS BIGINT) AS n_common FROM paras p JOIN paras t ON t.doc_id = p.doc_id AND t.para_idx = 0 WHERE p.para_idx > 0")
 def heading_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Words that the first two lines of a text share (title against content)."""
-    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("l")).filter(F.size("l") >= 2)
-    words = [F.split(F.element_at("l", k), " ", -1) for k in (1, 2)]
-    return lines.select("doc_id", F.size(F.array_intersect(*words)).cast("long").alias("n_common"))
+    """Words that the first line of a text (its title) shares with each other line."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.split(F.substring_index("text", "\n", 1), " ", -1).alias("title"))
+    lines = paragraphs(docs, "title").filter("para_idx > 0")
+    return lines.select("doc_id", "para_idx", F.size(F.array_intersect("title", F.split("text", " ", -1))).cast("long").alias("n_common"))
 
 
 @query("SELECT page_id, ref FROM (SELECT page_id, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS ref FROM pages) p WHERE ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id = p.ref)")
@@ -335,7 +336,8 @@ def density_shift(spark: SparkSession, d: str) -> DataFrame:
 def numeric_order(spark: SparkSession, d: str) -> DataFrame:
     """Order by the number in a name; names without one come last."""
     number = F.coalesce(F.regexp_extract("c_name", "#([0-9]+)$", 1).try_cast("bigint"), F.lit(1_000_000_000))
-    return table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(number, "c_custkey")).cast("long").alias("place"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", number.alias("number"))
+    return R.running_sum(rows, "c_nationkey", F.col("number"), F.lit(1), ["number", "c_custkey"], "place").select("c_custkey", "place")
 
 
 _PATTERNS = ("[A-Z][a-z]+ License", "[A-Z][A-Za-z]+ [A-Z][a-z]+")
@@ -374,8 +376,8 @@ def cancel_answers(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CAST(sum(coalesce(strlen(text), 0)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) // 65536 AS BIGINT) AS part FROM documents")
 def part_buffers(spark: SparkSession, d: str) -> DataFrame:
     """Upload part that each text's last byte falls into, by running sums of bytes within a source."""
-    so_far = F.sum(F.coalesce(F.octet_length("text").cast("long"), F.lit(0))).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return table(spark, d, "documents").select("doc_id", so_far.alias("n")).select("doc_id", F.expr("n div 65536").alias("part"))
+    rows = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text").cast("long"), F.lit(0)).alias("size"))
+    return R.running_sum(rows, "source", F.col("doc_id"), F.col("size"), ["doc_id"], "n").select("doc_id", F.expr("n div 65536").alias("part"))
 
 
 @query("SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -80,11 +80,19 @@ def repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return N.repeated_paragraphs(_paras(spark, d))
 
 
-@query("SELECT md5(text) AS signature, count(*) AS n, min(doc_id) AS first_id, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+_SIGNATURES = "SELECT md5(text) AS signature, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1"
+
+
+@query(_SIGNATURES)
 def duplicate_signature(spark: SparkSession, d: str) -> DataFrame:
     return N.duplicate_signatures(table(spark, d, "documents"))
 
 
+@query(f"SELECT signature, doc_id, first_id FROM documents JOIN ({_SIGNATURES}) ON md5(text) = signature")
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    return N.duplicate_members(table(spark, d, "documents"))
+
+
 @query(ALL + "SELECT doc_id, seq, id, category, severity, scope, chapter, para_idx, excerpt, anchor_text, problem, group_id FROM grouped")
 def issues_grouped(spark: SparkSession, d: str) -> DataFrame:
     """Findings as issues, with group ids in order of first appearance."""

@@ -10,9 +10,9 @@ from redpen.operators import anchors as A
 from redpen.operators import crossref as X
 from redpen.operators import issues as I
 from redpen.operators import report as P
-from redpen.plans.registry import ALL, RANK, _issues, query
+from redpen.plans.registry import ALL, PARAS, RANK, SENTS, _issues, query
 from redpen.schema import CATEGORIES, EVIDENCE
-from redpen.sources.tables import table
+from redpen.sources.tables import listing_page, paragraphs, table
 
 # Anchors
 
@@ -380,3 +380,85 @@ def numerals_read(spark: SparkSession, d: str) -> DataFrame:
     tens = F.when((t == 1) & (h == 0), "十").when(t > 0, F.concat(digit(t), F.lit("十"))).when((h > 0) & (o > 0), "零").otherwise("")
     written = F.concat(hundreds, tens, F.when(o > 0, digit(o)).otherwise(""))
     return table(spark, d, "customer").select("c_custkey", T.numeral(written).alias("value"))
+
+
+@query(
+    f"WITH said AS (SELECT item_id, unnest(range(len(l))) AS k, unnest(l) AS w FROM (SELECT item_id, regexp_extract_all(text, '{A.WORD}') AS l FROM benchmark)) "
+    "SELECT item_id, word, place FROM (SELECT item_id, w AS word, row_number() OVER (PARTITION BY item_id ORDER BY count(*) * length(w) DESC, length(w) DESC, min(k)) AS place FROM said WHERE len(list_distinct(string_split(w, ''))) >= 2 GROUP BY item_id, w) WHERE place <= 10"
+)
+def problem_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The ten keywords of each problem text, in the order in which they are tried."""
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(A.keywords(F.col("text"))).alias("k", "word"))
+    return rows.select("item_id", "word", (F.col("k") + 1).cast("long").alias("place"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+  s AS (SELECT doc_id, section, count(*) - 1 AS n FROM (SELECT doc_id, sum(CASE WHEN length(line) BETWEEN 1 AND 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM p) WHERE section > 0 GROUP BY doc_id, section)
+  SELECT doc_id, count(*) AS n_sections, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (n = 1) >= 3 AS many FROM s GROUP BY doc_id"""
+)
+def single_paragraph_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of one paragraph in each text, and whether there are three or more; a short line begins a section."""
+    heads = F.sum(F.length("text").between(1, 40).cast("int")).over(Window.partitionBy("doc_id").orderBy("para_idx"))
+    sections = paragraphs(table(spark, d, "documents")).select("doc_id", heads.alias("section")).filter("section > 0").groupBy("doc_id", "section").agg((F.count("*") - 1).alias("n"))
+    single = F.count_if(F.col("n") == 1)
+    return sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"), single.alias("n_single"), (single >= 3).alias("many"))
+
+
+_LANG_SHARES = {"en": 0.85, "de": 0.85, "fr": 0.9, "es": 0.9}
+
+
+@query(
+    "SELECT lang, count(*) AS n, count(*) FILTER (quality = 1) AS n_good, avg(quality) >= CASE WHEN lang IN ('en', 'de') THEN 0.85 WHEN lang IN ('fr', 'es') THEN 0.9 ELSE 1.0 END AS reached FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING count(*) >= 5"
+)
+def share_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Share of good texts against the threshold of their kind, for kinds with five texts or more."""
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("n_good"), F.avg("quality").alias("share")).filter("n >= 5")
+    return shares.select("lang", "n", "n_good", (F.col("share") >= T.mapped(F.col("lang"), _LANG_SHARES, 1.0)).alias("reached"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(left(text, 500), 'The') THEN 'journal' WHEN contains(text, 'License') THEN 'license' WHEN contains(text, 'The') THEN 'thesis' ELSE 'course' END AS kind FROM documents WHERE text IS NOT NULL")
+def paper_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered rules, of which the first reads the first 500 characters only."""
+    text = F.col("text")
+    kind = F.when(F.substring(text, 1, 500).contains("The"), "journal").when(text.contains("License"), "license").when(text.contains("The"), "thesis").otherwise("course")
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", kind.alias("kind"))
+
+
+@query(f"WITH {PARAS}, {SENTS} SELECT doc_id, para_idx, sent_idx, trim(sentence) = '' OR length(regexp_replace(sentence, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(length(sentence), 1) < 0.1 OR regexp_matches(sentence, '\\.{{5,}}|[□■▯]|�') AS scanned FROM sents")
+def scanned_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of text that look like a failed scan: blank, hardly letters or digits, runs of dots, blocks or replacement characters."""
+    pieces = paragraphs(table(spark, d, "documents")).select("doc_id", "para_idx", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    return pieces.select("doc_id", "para_idx", F.col("sent_idx").cast("long").alias("sent_idx"), T.looks_scanned(F.col("sentence")).alias("scanned"))
+
+
+@query(
+    f"""WITH {PARAS}, {SENTS}, w AS (SELECT doc_id, para_idx, length(sentence) AS n, sum(length(sentence) + 1) OVER (PARTITION BY doc_id, para_idx ORDER BY sent_idx) AS upto, sum(length(sentence) + 1) OVER (PARTITION BY doc_id, para_idx) AS whole FROM sents)
+  SELECT * FROM (SELECT doc_id, para_idx, CAST(upto - n - 1 AS BIGINT) AS span_start, CAST(least(upto, whole - 1) AS BIGINT) AS span_end FROM w) WHERE span_start < span_end"""
+)
+def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    """[span_start, span_end) of every sentence; the spans of a line tile it."""
+    spans = paragraphs(table(spark, d, "documents")).select("doc_id", "para_idx", F.explode(T.sentence_ranges(F.col("text"))).alias("s"))
+    return spans.select("doc_id", "para_idx", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
+
+
+@query("SELECT page_id, array_to_string(list_filter(['<title', '<nav', '<article', '<footer', '<aside'], lambda t: NOT contains(html, t)), ',') AS missing FROM pages WHERE html IS NOT NULL")
+def required_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Required parts that a page lacks, in the order of the list."""
+    lacks = F.filter(F.array(*[F.lit(t) for t in ("<title", "<nav", "<article", "<footer", "<aside")]), lambda t: ~F.contains("html", t))
+    return table(spark, d, "pages").filter("html is not null").select("page_id", F.array_join(lacks, ",").alias("missing"))
+
+
+@query("WITH k AS (SELECT DISTINCT url AS key FROM pages WHERE starts_with(url, 'https://')), p AS (SELECT key FROM k ORDER BY key LIMIT 5 OFFSET 5) SELECT key, (SELECT count(*) FROM k) > 10 AS is_truncated, CASE WHEN (SELECT count(*) FROM k) > 10 THEN (SELECT max(key) FROM p) END AS next_token FROM p")
+def listing_next_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page after the first one, by the token that the first gives."""
+    pages = table(spark, d, "pages")
+    token = listing_page(pages, "url", "https://", 5).first()["next_token"]  # one row
+    return listing_page(pages, "url", "https://", 5, token)
+
+
+@query("SELECT page_id, html FROM pages WHERE strlen(html) <= 4096")
+def payloads_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads within the reader's bound."""
+    return table(spark, d, "pages").select("page_id", "html").filter(F.octet_length("html") <= 4096)

@@ -9,11 +9,10 @@ from redpen.plans.registry import QUERIES, SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck(data):
+def _duck(folder):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con
 
 
@@ -21,17 +20,22 @@ def _norm(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_sql(spark, duck, data, name):
-    df = QUERIES[name](spark, data)
+def _compared(spark, folder, name):
+    df = QUERIES[name](spark, folder)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    cur = duck.execute(SQL[name])
+    cur = _duck(folder).execute(SQL[name])
     names = [x[0] for x in cur.description]
     want = sorted((tuple(_norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
     assert sorted(names) == cols
     assert got == want
-    assert got or name in ("redacted_text", "authors_missing", "authors_matched", "group_dependency")
+    return got
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_sql(spark, data, name):
+    """On the smallest tables; a query without rows there, on the next ones."""
+    assert _compared(spark, data, name) or _compared(spark, data.replace("sf0.001", "sf0.01"), name)
 
 
 def test_entry(spark):
