@@ -37,14 +37,6 @@ def sentences(c: Column) -> Column:
     return F.transform(F.split(kept, _ENDERS, -1), lambda s: F.replace(s, F.lit(_DOT), F.lit(".")))
 
 
-def sentence_ranges(c: Column) -> Column:
-    """Array of [start, end) that tile the text; enders in a row stand alone as ranges of their own after the first."""
-    parts = sentences(c)
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s) + 1)))
-    spans = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.element_at(ends, i).alias("start"), F.least(F.element_at(ends, i + 1), F.length(c)).alias("end")))
-    return F.filter(spans, lambda s: s["start"] < s["end"])
-
-
 def is_contents_line(c: Column) -> Column:
     """A line of a table of contents: at most 100 characters, under 80 when trimmed, ending in a page number."""
     trimmed = strip(c)

@@ -70,7 +70,8 @@ def _by_keyword(problem: Column, body: Column) -> Column:
 
 def _longest_in_head(body: Column) -> Column:
     pieces = F.regexp_extract_all(F.substring(body, 1, HEAD), F.lit(HEAD_PIECE), F.lit(0))
-    return F.array_max(F.transform(pieces, lambda p, k: F.struct(F.length(p).alias("n"), (-k).alias("k"), p.alias("piece"))))["piece"]
+    longest = F.array_max(F.transform(pieces, lambda p, k: F.struct(F.length(p).alias("n"), (-k).alias("k"), p.alias("piece"))))["piece"]
+    return F.nullif(F.trim(longest), F.lit(""))
 
 
 def found_anchors(problems: DataFrame, bodies: DataFrame) -> DataFrame:

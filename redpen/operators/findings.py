@@ -21,6 +21,16 @@ def long_sentences(paras: DataFrame, most: int = LONG_SENTENCE) -> DataFrame:
     return rows.filter(F.length("sentence") > most).select("doc_id", "para_idx", F.col("sent_idx").cast("long").alias("sent_idx"), F.length("sentence").cast("long").alias("n_chars"), "sentence")
 
 
+def sentence_spans(paras: DataFrame) -> DataFrame:
+    """(doc_id, para_idx, span_start, span_end): [start, end) of every sentence with its ender. The spans of a paragraph tile it; a
+    second ender in a row is a span of its own. Lengths are summed in a window, so a long paragraph costs no more than its sentences."""
+    sents = paras.select("doc_id", "para_idx", F.length("text").alias("whole"), F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence"))
+    sizes = sents.select("doc_id", "para_idx", "whole", "k", (F.length("sentence") + 1).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("doc_id", "para_idx").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = sizes.withColumn("upto", upto).select("doc_id", "para_idx", (F.col("upto") - F.col("size")).alias("span_start"), F.least("upto", F.col("whole").cast("long")).alias("span_end"))
+    return spans.filter("span_start < span_end")
+
+
 def repeated_paragraphs(paras: DataFrame) -> DataFrame:
     """(doc_id, text_md5, n, first_para) of texts that a document has more than once; blank lines don't count."""
     full = paras.filter(F.trim("text") != "")

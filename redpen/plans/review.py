@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redpen.functions import text as T
 from redpen.operators import anchors as A
 from redpen.operators import crossref as X
+from redpen.operators import findings as N
 from redpen.operators import issues as I
 from redpen.operators import report as P
 from redpen.plans.registry import ALL, PARAS, RANK, SENTS, _issues, query
@@ -32,7 +33,7 @@ _LEVELS = rf"""quoted AS (SELECT doc_id, seq, unnest(range(len(l))) AS k, trim(u
   heads AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY length(piece) DESC, k) AS best FROM (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS piece FROM (SELECT doc_id, regexp_extract_all(substr(body, 1, 200), '{A.HEAD_PIECE}') AS l FROM bodies))),
   levels AS (SELECT doc_id, seq, 1 AS level, k AS r, a AS anchor FROM by_quote WHERE a IS NOT NULL
     UNION ALL SELECT doc_id, seq, 2, r, trim(piece, ' ') FROM pieces WHERE best = 1 AND trim(piece, ' ') <> ''
-    UNION ALL SELECT doc_id, seq, 3, 0, piece FROM problems JOIN heads USING (doc_id) WHERE best = 1
+    UNION ALL SELECT doc_id, seq, 3, 0, trim(piece, ' ') FROM problems JOIN heads USING (doc_id) WHERE best = 1 AND trim(piece, ' ') <> ''
     UNION ALL SELECT doc_id, seq, 4, 0, substr(trim(problem, ' '), 1, 40) FROM problems),
   chosen AS (SELECT doc_id, seq, CAST(level AS BIGINT) AS level, anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY level, r) AS n FROM levels) WHERE n = 1)"""
 
@@ -439,8 +440,7 @@ def scanned_pieces(spark: SparkSession, d: str) -> DataFrame:
 )
 def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     """[span_start, span_end) of every sentence; the spans of a line tile it."""
-    spans = paragraphs(table(spark, d, "documents")).select("doc_id", "para_idx", F.explode(T.sentence_ranges(F.col("text"))).alias("s"))
-    return spans.select("doc_id", "para_idx", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
+    return N.sentence_spans(paragraphs(table(spark, d, "documents")))
 
 
 @query("SELECT page_id, array_to_string(list_filter(['<title', '<nav', '<article', '<footer', '<aside'], lambda t: NOT contains(html, t)), ',') AS missing FROM pages WHERE html IS NOT NULL")

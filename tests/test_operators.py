@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from redpen.functions import text as T
 from redpen.operators import crossref, issues, locate, rank
+from redpen.operators import findings as N
 from redpen.operators.findings import with_groups
 
 
@@ -13,7 +14,8 @@ def one(spark, text, make):
 
 def test_sentences_and_ranges(spark):
     assert one(spark, "A.b 3.5。好?!", T.sentences) == ["A.b 3.5", "好", "", ""]
-    assert [(r["start"], r["end"]) for r in one(spark, "A.b 3.5。好?!", T.sentence_ranges)] == [(0, 8), (8, 10), (10, 11)]
+    spans = N.sentence_spans(spark.createDataFrame([(1, 0, "A.b 3.5。好?!")], "doc_id long, para_idx long, text string"))
+    assert [tuple(r)[2:] for r in spans.orderBy("span_start").collect()] == [(0, 8), (8, 10), (10, 11)]
     assert one(spark, "a.b.c", T.sentences) == ["a.b.c"]
 
 
