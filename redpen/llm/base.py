@@ -27,9 +27,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a new one."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a new one if Spark is local, as in tests.
+
+    On a cluster a machine's own folder would lose what other machines write, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="redpen-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
