@@ -33,4 +33,55 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
   sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(froms) + 1), lambda k: substr(h, 2 * froms[k] + 1, 2 * (coalesce(tos[k], length(h) // 2) - froms[k]))), '') END)) AS kept_sha256
 FROM t LEFT JOIN bounds USING (doc_id)"""
 
-SQL = {"op2_chat_formatting": CHAT, "op3_warc": WARC, "op4_suffix_array_dedup": SUFFIXES}
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+TOP_K = f"""WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+named AS (SELECT *, row_number() OVER () AS nr FROM v)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM named q JOIN named c ON q.nr <> c.nr WHERE q.vec_id % 20 = 0))
+WHERE rank <= 20"""
+
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+counts AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INT) AS step, substr(filter_order, s, 1) AS filter, substr(filter_order, 1, s - 1) AS before FROM orders, range(1, 6) t(s)),
+cells AS (SELECT part, filter_order, step, filter, n, good, toxic, fails, contains(fails, filter) AS hit, length(translate(fails, before, '')) < length(fails) AS gone FROM counts, steps),
+r AS (SELECT part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails, coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS toxic_lost
+  FROM cells GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r"""
+
+
+def clustering(k: int = 8, rounds: int = 10) -> str:
+    """Rounds of Lloyd's algorithm, one after another, each component a row."""
+    nearest = "SELECT nr, cluster, distance FROM (SELECT nr, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance, row_number() OVER (PARTITION BY nr ORDER BY distance, c.cluster) AS place FROM v JOIN c{t} c USING (pos) GROUP BY nr, c.cluster) WHERE place = 1"
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) AS nr, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})""",
+        "v AS MATERIALIZED (SELECT nr, unnest(range(64)) AS pos, CAST(unnest(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))) AS BIGINT) AS x FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT CAST(nr - 1 AS INT) AS cluster, pos, x FROM v WHERE nr <= {k})",
+    ]
+    for t in range(rounds):
+        parts.append(f"a{t} AS MATERIALIZED ({nearest.format(t=t)})")
+        parts.append(
+            f"c{t + 1} AS MATERIALIZED (SELECT c.cluster, c.pos, CAST(coalesce((s - (((s % n) + n) % n)) // n, c.x) AS BIGINT) AS x FROM c{t} c LEFT JOIN (SELECT cluster, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{t} USING (nr) GROUP BY cluster, pos) USING (cluster, pos))"
+        )
+    parts.append(f"last AS MATERIALIZED ({nearest.format(t=rounds)})")
+    parts.append(f"names AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM last JOIN kept USING (nr) JOIN names USING (cluster)"""
+
+
+SQL = {"op2_chat_formatting": CHAT, "op3_warc": WARC, "op4_suffix_array_dedup": SUFFIXES, "op11_maxscore_topk": TOP_K, "op12_filter_audit": AUDIT, "op13_drift_clustering": clustering()}

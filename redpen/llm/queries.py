@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redpen.llm import bpe, chat, decontaminate, html, licenses, oracles, quality, simhash, suffixes, toxicity, warc
+from redpen.llm import audit, bpe, chat, decontaminate, drift, html, licenses, maxscore, oracles, quality, simhash, suffixes, toxicity, warc
 from redpen.llm.base import table
 
 #: Where vocabulary files lie unless the public package says otherwise.
@@ -66,9 +66,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_drift_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_chat_formatting, op3_warc, op4_suffix_array_dedup, op5_quality_rules, op6_toxicity, op7_license_scan, op8_benchmark_decontamination, op9_bpe, op10_simhash_near_dedup)
+    for f in (op1_html_extraction, op2_chat_formatting, op3_warc, op4_suffix_array_dedup, op5_quality_rules, op6_toxicity, op7_license_scan, op8_benchmark_decontamination, op9_bpe, op10_simhash_near_dedup, op11_maxscore_topk, op12_filter_audit, op13_drift_clustering)
 }
 
 #: The other operators can't be stated in SQL (see the tests, which hold each against a brute-force version).
