@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redpen.functions.text import mapped, table_cell
+from redpen.functions.text import escaped, mapped, stable_id, table_cell
 from redpen.schema import CATEGORIES, SEVERITY_LABEL, SEVERITY_RANK
 
 
@@ -39,3 +39,29 @@ def islands(paras: DataFrame) -> DataFrame:
     """(doc_id, first_para, last_para, n): runs of consecutive indexes."""
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("para_idx"))
     return paras.select("doc_id", "para_idx", (F.col("para_idx") - number).alias("island")).groupBy("doc_id", "island").agg(F.min("para_idx").alias("first_para"), F.max("para_idx").alias("last_para"), F.count("*").alias("n")).drop("island")
+
+
+#: Parts that a commented document has to have, and the mark of a comment in each.
+PART_MARKS = {"document": "<start ", "comments": "<comment ", "extended": "<ex "}
+
+
+def document_parts(rows: DataFrame) -> DataFrame:
+    """(doc_id, name, body): the three parts of each commented document, comments in order: marked excerpts, comments, states of threads."""
+    number, para = (F.col("seq") - 1).cast("string"), stable_id("para:", F.col("id"))
+    of = lambda mark: F.concat(F.lit(f'<{mark} id="'), number, F.lit('"/>'))
+    document = F.concat(of("start"), escaped(F.col("excerpt")), of("end"), of("ref"))
+    comments = F.concat(F.lit('<comment id="'), number, F.lit('" paraId="'), para, F.lit('">'), escaped(F.col("problem")), F.lit("</comment>"))
+    extended = F.concat(F.lit('<ex paraId="'), para, F.lit('" done="0"/>'))
+    pieces = rows.select("doc_id", F.struct("seq", document.alias("document"), comments.alias("comments"), extended.alias("extended")).alias("c"))
+    ordered = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    part = lambda name: F.struct(F.lit(name).alias("name"), F.concat(F.lit(f"<{name}>"), F.array_join(F.transform("c", lambda c: c[name]), ""), F.lit(f"</{name}>")).alias("body"))
+    return ordered.select("doc_id", F.explode(F.array(*[part(n) for n in PART_MARKS])).alias("p")).select("doc_id", "p.name", "p.body")
+
+
+def broken_parts(parts: DataFrame) -> DataFrame:
+    """Documents (doc_id) that lack a part or hold one twice, or whose starts, ends, references, comments and threads differ in number."""
+    count = lambda mark: F.sum(F.regexp_count("body", F.lit(mark)))
+    marks = [*PART_MARKS.values(), "<end ", "<ref ", "</comment>"]
+    found = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("name").alias("kinds"), F.array_distinct(F.array(*[count(m) for m in marks])).alias("counts"))
+    whole = (F.col("n") == len(PART_MARKS)) & (F.col("kinds") == len(PART_MARKS)) & (F.size("counts") == 1)
+    return found.filter(~F.coalesce(whole, F.lit(False))).select("doc_id")

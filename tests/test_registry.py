@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from redpen.plans import more, review  # noqa: F401
+from redpen.plans import joins, more, review, streams  # noqa: F401
 from redpen.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
