@@ -1,12 +1,12 @@
 """Exact Lloyd clustering with bounds that are loosened by geometry.
 
 A vector carries an upper bound of the distance to its centroid and a lower bound for every centroid. When a
-centroid moves from c to d, the lower bounds of a cluster's vectors fall by |c - d| at most. They fall by less if
-the sphere that holds the cluster (about its old centroid, out to its largest upper bound) lies aside: points x
-with |x - c| - |x - d| >= 2a lie inside one branch of a hyperbola with foci c and d, hence inside its asymptotes'
-cone, so in the plane of c, d and x seen from the middle of c and d the angle to x obeys cos(angle) >= 2a / |c - d|.
-The least angle over a sphere is that of its middle less the angle it fills, which bounds 2a for the whole cluster.
-Vectors whose bounds overlap are measured against all centroids in whole numbers.
+centroid moves from c to d, a lower bound falls by |c - d| at most. Points x with |x - c| - |x - d| >= 2a lie inside one
+branch of a hyperbola with foci c and d, hence inside its asymptotes' cone: seen from the middle of c and d, the angle
+from the move to x obeys cos(angle) >= 2a / |c - d|. What is known of a vector bounds that angle in the plane of its own
+centroid, c and d: it lies in the sphere about its own centroid as wide as its upper bound, on its own side of the
+plane half-way to c, and the farther from it the larger its lower bound for c is. So bounds fall by less than the
+move. Vectors whose bounds overlap are measured against all centroids in whole numbers.
 
 Vectors lie in blocks of BLOCK, a row each. Every pass over the blocks is written to the shared folder with the
 change of each centroid's sum, of which Spark adds up one number for each centroid and component.
@@ -59,19 +59,36 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([[int(((row - mid) ** 2).sum()) for mid in c] for row in x], object).reshape(len(x), len(c))
 
 
-def loosening(old: np.ndarray, new: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """[i, j]: by how much the distance to centroid j can shrink at most for points within radius[i] of old centroid i, when j moves from old to new."""
+def loosening(old: np.ndarray, new: np.ndarray, cluster: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """[x, j]: by how much the distance of vector x to centroid j can shrink at most when j moves from old to new.
+
+    cluster, upper and lower are those of the vectors before the move. In the plane of i (a vector's own centroid), j and the
+    new j, with i at the origin and j at (far, 0), the vector lies in the disk of radius upper, and, being nearer to i than
+    to j, at most `side` along the line to j. Seen from the middle of the move that region begins at the corner (side, reach)."""
     move = new - old
     drift = np.sqrt((move * move).sum(1))
-    middle = (old + new) / 2
-    to = old[:, None, :] - middle[None, :, :]
-    far = np.sqrt((to * to).sum(2))
+    full = np.broadcast_to(drift, lower.shape)
+    way = old[None] - old[:, None]
+    far = np.sqrt((way * way).sum(2))
     with np.errstate(divide="ignore", invalid="ignore"):
-        angle = np.arccos(np.clip((to * move[None]).sum(2) / (far * drift[None]), -1, 1))
-        fills = np.arcsin(np.clip(radius[:, None] / far, 0, 1))
-    outside = (radius[:, None] < far) & (far > 0) & (drift[None] > 0)
-    least = np.where(outside, np.maximum(0, np.nan_to_num(angle) - np.nan_to_num(fills) - SLACK), 0)
-    return drift[None] * np.maximum(0, np.cos(least))
+        along = (way * move[None]).sum(2) / far
+        aside = np.sqrt(np.maximum(0, drift[None] ** 2 - along**2))
+        far, along, aside = (x[cluster] for x in (far, along, aside))
+        u = upper[:, None]
+        middle = (far + along / 2, aside / 2)
+        # the sphere as a whole: the angle to its middle less the angle that it fills
+        gap = np.sqrt(middle[0] ** 2 + middle[1] ** 2)
+        angle = np.arccos(np.clip(-(middle[0] * along + middle[1] * aside) / (gap * drift), -1, 1))
+        whole = np.where(u < gap, np.cos(np.maximum(0, angle - np.arcsin(np.clip(u / gap, 0, 1)))), 1)
+        # the part of it on this side of the line between both centroids
+        side = np.minimum(far / 2, (far**2 + u**2 - lower**2) / (2 * far))
+        reach = np.where(side < 0, np.sqrt(np.maximum(0, u**2 - side**2)), u)
+        corner = (side - middle[0], reach - middle[1])
+        size = np.sqrt(corner[0] ** 2 + corner[1] ** 2)
+        beside = (corner[0] < 0) & (corner[1] > 0) & (along * size > corner[0] * drift)
+        cut = np.where(beside, (corner[0] * along + corner[1] * aside) / (size * drift), 1)
+        share = np.minimum(whole, cut) + SLACK
+        return np.where(np.isfinite(share) & (far > 0) & (drift > 0), full * np.clip(share, 0, 1), full)
 
 
 def _assigned(x: np.ndarray, centroids: np.ndarray, state: tuple[np.ndarray, np.ndarray, np.ndarray] | None, before: np.ndarray | None, geometric: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
@@ -84,12 +101,10 @@ def _assigned(x: np.ndarray, centroids: np.ndarray, state: tuple[np.ndarray, np.
     else:
         cluster, upper, lower = state
         old = before.astype(np.float64)
-        radius = np.zeros(k)
-        np.maximum.at(radius, cluster, upper)
         drift = np.sqrt(((mids - old) ** 2).sum(1))
-        less = loosening(old, mids, radius * (1 + SLACK)) if geometric else np.broadcast_to(drift, (k, k))
+        less = loosening(old, mids, cluster, upper, lower) if geometric else np.broadcast_to(drift, (n, k))
         upper = (upper + drift[cluster]) * (1 + SLACK)
-        lower = np.maximum(0, lower * (1 - SLACK) - less[cluster] * (1 + SLACK))
+        lower = np.maximum(0, lower * (1 - SLACK) - less * (1 + SLACK))
         rest = lower.copy()
         rest[np.arange(n), cluster] = np.inf
         rest = rest.min(1)

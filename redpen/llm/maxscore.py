@@ -94,7 +94,7 @@ def search(weights: np.ndarray, least: np.ndarray, lists: np.ndarray, ids: np.nd
     bounds = np.maximum(weights * low[None], weights * high[None])
     order = np.argsort(bounds.astype(np.float64), axis=1, kind="stable")
     together = np.cumsum(np.take_along_axis(bounds, order, 1).astype(object if kind is object else np.float64), axis=1)
-    limits = least.astype(object if kind is object else np.float64)
+    limits = np.where(least == NO_SCORE, -np.inf, least.astype(object if kind is object else np.float64))  # a score at a long's limit may stand for less
     essential = np.zeros(weights.shape, bool)
     np.put_along_axis(essential, order, together >= limits[:, None], 1)
     scores = np.where(essential, weights, kind(0) if kind is not object else 0) @ lists
@@ -182,7 +182,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
         best = written(_best(found if best is None else found.unionByName(best), k + 1), "best")
         lo, hi = hi, hi * growth
 
-    lists = best.groupBy("qno").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("under"), "vec_id", "score"))).alias("best"))
+    lists = best.groupBy("qno").agg(F.sort_array(F.collect_list(F.struct(F.bitwise_not("score").alias("under"), "vec_id", "score"))).alias("best"))
     answers = different.join(lists, "qno").select("v", "best")
     named = queries.select(F.col("vec_id").alias("query_id"), "v").join(answers, "v")
     # the query's own row is the candidate with its id and its own product; of two such rows either may go
