@@ -126,24 +126,34 @@ def numeral(c: Column) -> Column:
     return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), zero, step, lambda acc: acc["total"] + acc["open"]).cast("long")
 
 
-#: Ends that a truncated JSON text is cut after, in the order in which they are tried. The values are fixed by the format.
-JSON_ENDS = ("],", "},", '",', "null,", "true,", "false,")
+#: Pieces of a JSON text, which they tile: whole strings, a string without end, blanks, signs, anything else.
+JSON_PIECE = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"|"[\s\S]*|\s+|[\[\]{},:]|[^\[\]{},:"\s]+'
 
 
 def repaired_json(c: Column) -> Column:
-    """A truncated JSON text cut after its last complete part, without a dangling key, with closing brackets. It may still be invalid; valid JSON stays."""
-
-    def end(m: str) -> Column:
-        at = F.length(c) - F.instr(F.reverse(c), F.lit(m[::-1])) - len(m) + 2
-        return F.when(F.contains(c, F.lit(m)) & (at > 1), F.left(c, (at + len(m) - 1).cast("int")))
-
-    cut = F.coalesce(*[end(m) for m in JSON_ENDS], c)
-    cut = F.regexp_replace(cut, r',?\s*"[^"]*"\s*:\s*"[^"]*$', "")
-    cut = F.regexp_replace(cut, r',?\s*"[^"]*"\s*:\s*\S+$', "")
-    left = F.length(F.regexp_replace(cut, r"[^{\[]", "")) - F.length(F.regexp_replace(cut, r"[^}\]]", ""))
-    first = F.when(cut.rlike(r"[\]}]\s*$"), "}").otherwise("]")
-    closed = F.when(left > 0, F.concat(cut, first, F.repeat(F.lit("}"), left - 1))).otherwise(cut)
-    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(closed)
+    """A JSON text that was cut off, up to its last complete member, with the brackets closed that are open there.
+
+    The pieces are read once with the open brackets as a stack. A text may end after a bracket that closes, before a comma that
+    follows a value, after a whole string that is a value, and after the bracket it begins with; a number or word at the very
+    end may be a part of one and goes. What follows a wrong bracket, or the whole value, goes too. Valid JSON stays, and so
+    does a text that begins with no bracket; the result may still be invalid where the text was wrong before its cut."""
+
+    def step(s: Column, piece: Column) -> Column:
+        k, end, top = F.left(piece, F.lit(1)), s["pos"] + F.length(piece), F.right(s["open"], F.lit(1))
+        opens, closes = k.isin("[", "{"), k.isin("]", "}")
+        fits = ((k == "]") & (top == "[")) | ((k == "}") & (top == "{"))
+        wrong = (s["before"] == "!") | (closes & ~fits) | ((s["open"] == "") & ((s["before"] != "") | ~opens))
+        now = F.when(opens, F.concat(s["open"], k)).when(closes, F.left(s["open"], F.length(s["open"]) - 1)).otherwise(s["open"])
+        value = (s["before"] == ":") | ((top == "[") & s["before"].isin("[", ","))
+        ends = (opens & (s["open"] == "")) | closes | (value & piece.rlike(r'^"[^"\\]*(?:\\[\s\S][^"\\]*)*"$'))
+        comma = (k == ",") & ~s["before"].isin(",", "[", "{", ":")
+        state = lambda before, keep, stack, open_: F.struct(end.alias("pos"), open_.alias("open"), before.alias("before"), keep.alias("keep"), stack.alias("stack"))
+        keep, stack = F.when(ends, end).when(comma, s["pos"]).otherwise(s["keep"]), F.when(ends, now).when(comma, s["open"]).otherwise(s["stack"])
+        return F.when(piece.rlike(r"^\s"), state(s["before"], s["keep"], s["stack"], s["open"])).when(wrong, state(F.lit("!"), s["keep"], s["stack"], s["open"])).otherwise(state(k, keep, stack, now))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("open"), F.lit("").alias("before"), F.lit(0).alias("keep"), F.lit("").alias("stack"))
+    closed = lambda s: F.when(s["keep"] > 0, F.concat(F.left(c, s["keep"]), F.translate(F.reverse(s["stack"]), "[{", "]}"))).otherwise(c)
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.aggregate(F.regexp_extract_all(c, F.lit(JSON_PIECE), F.lit(0)), start, step, closed))
 
 
 def escaped(c: Column) -> Column:

@@ -8,28 +8,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.functions import text as T
+from redpen.sources.store import written
 
 NEEDLE, SPAN = 30, 30
 
 
-def _inner_word(needle: Column) -> Column:
-    """A whole word inside the needle: what stands between its first two spaces; null if there is none."""
+#: Keys of the needles are broadcast only up to this many rows, counted; beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def _inner_words(needle: Column) -> Column:
+    """Whole words inside the needle: all pieces between spaces but the first and the last, which may be cut."""
     parts = F.split(needle, " ")
-    return F.when(F.size(parts) >= 3, parts[1])
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+
+
+def _pairs(words: Column) -> Column:
+    return F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+
+
+def _rarest(grams: DataFrame, counts: DataFrame, owner: list[str], scope: list[str]) -> DataFrame:
+    """(owner, gram): of each owner's grams the one that stands in the fewest paragraphs. One that stands in none settles it: there is no hit."""
+    often = grams.join(counts, [*scope, "gram"], "left").select(*owner, "gram", F.coalesce("often", F.lit(0)).alias("often"))
+    return often.groupBy(*owner).agg(F.min(F.struct("often", "gram")).alias("r")).filter("r.often > 0").select(*owner, "r.gram")
 
 
 def anchor_hits(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     """First paragraph of the anchor's document that contains the first characters of the anchor, lines of a table of contents last.
 
-    anchors: (doc_id, seq, anchor_text). Paragraphs that have the anchor's inner word are candidates, by an equi-join of words
-    that carry no text, so a long document isn't compared anchor by paragraph; anchors without an inner word meet every
-    paragraph of their document."""
+    anchors: (doc_id, seq, anchor_text). An index of the paragraphs gives, for each document and each word that a needle of it has
+    inside, the paragraphs with the word; a needle's candidates are those of its rarest word, and only they are compared.
+    Anchors without a word inside meet every paragraph of their document."""
     needle = F.substring(T.strip(F.col("anchor_text")), 1, NEEDLE)
-    wanted = anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''").withColumn("word", _inner_word(F.col("needle")))
-    words = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    near = wanted.filter("word is not null").join(words, ["doc_id", "word"]).select("doc_id", "seq", "needle", "para_idx").join(paras.select("doc_id", "para_idx", "text"), ["doc_id", "para_idx"])
-    bare = wanted.filter("word is null").select("doc_id", "seq", "needle").join(paras.select("doc_id", "para_idx", "text"), "doc_id")
-    hit = near.unionByName(bare).filter(F.contains("text", "needle"))
+    # read several times below, so the plan behind the anchors runs once
+    wanted = written(anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''").withColumn("words", _inner_words(F.col("needle"))), "needles")
+    grams = wanted.select("doc_id", "seq", F.explode(F.array_distinct("words")).alias("gram"))
+    words = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.split("text", " "))).alias("gram"))
+    postings = words.groupBy("doc_id", "gram").agg(F.collect_list("para_idx").alias("at"))
+    index = written(postings.join(grams.select("doc_id", "gram"), ["doc_id", "gram"], "left_semi").withColumn("often", F.size("at")), "index")
+    keyed = _rarest(grams, index.select("doc_id", "gram", "often"), ["doc_id", "seq"], ["doc_id"])
+    near = keyed.join(index, ["doc_id", "gram"]).select("doc_id", "seq", F.explode("at").alias("para_idx"))
+    texts = paras.select("doc_id", "para_idx", "text")
+    met = near.join(wanted.select("doc_id", "seq", "needle"), ["doc_id", "seq"]).join(texts, ["doc_id", "para_idx"])
+    bare = wanted.filter(F.size("words") == 0).select("doc_id", "seq", "needle").join(texts, "doc_id")
+    hit = met.unionByName(bare).filter(F.contains("text", "needle"))
     order = F.struct(T.is_contents_line(F.col("text")).cast("int"), "para_idx")
     place = F.struct(F.col("para_idx").alias("hit_para"), (F.instr("text", F.col("needle")) - 1).cast("long").alias("start"), F.length("text").cast("long").alias("para_chars"))
     return hit.groupBy("doc_id", "seq").agg(F.min_by(place, order).alias("p")).select("doc_id", "seq", "p.*")
@@ -59,24 +81,39 @@ def _piece(n: int) -> Callable[[Column], Column]:
     return lambda i: F.substring(F.col("text"), i, F.lit(n))
 
 
-def first_hits(items: DataFrame, paras: DataFrame) -> DataFrame:
-    """(item_id, doc_id, para_idx): first place in the corpus of the first characters of each item, lines of a table of contents last.
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    There is no equi key between both sides, so needles are joined to the words of paragraphs by their inner word, or, without
-    one, to the paragraphs' pieces of as many characters as the needle has; neither carries text. Texts are fetched for
-    the candidates only."""
+
+def hit_candidates(items: DataFrame, paras: DataFrame) -> DataFrame:
+    """(item_id, needle, doc_id, para_idx): the paragraphs that may hold the first characters of each item.
+
+    A needle's grams are the pairs of neighbouring words inside it, or its one inner word. How many paragraphs of the corpus have
+    each of them is counted first, then the paragraphs with each needle's rarest gram are taken, so common words are no keys.
+    Needles without an inner word are joined to the paragraphs' pieces of as many characters. No text is carried along."""
     needle = F.substring(T.strip(F.col("text")), 1, NEEDLE)
-    wanted = items.select("item_id", needle.alias("needle")).filter("needle <> ''").withColumn("word", _inner_word(F.col("needle")))
-    words = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    near = words.join(wanted.filter("word is not null"), "word").select("item_id", "needle", "doc_id", "para_idx")
-    bare = wanted.filter("word is null").select("item_id", "needle")
+    inner = _inner_words(F.col("needle"))
+    wanted = written(items.select("item_id", needle.alias("needle")).filter("needle <> ''").withColumn("grams", F.when(F.size(inner) > 1, _pairs(inner)).otherwise(inner)), "needles")
+    grams = wanted.select("item_id", "needle", F.explode(F.array_distinct("grams")).alias("gram"))
+    words = F.split("text", " ")
+    met = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.concat(words, _pairs(words)))).alias("gram"))
+    counts = written(met.join(_small(grams.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("often")), "counts")
+    keyed = written(_rarest(grams, counts, ["item_id", "needle"], []), "keys")
+    near = met.join(_small(keyed), "gram").select("item_id", "needle", "doc_id", "para_idx")
+    bare = wanted.filter(F.size("grams") == 0).select("item_id", "needle")
     sizes = [r["size"] for r in bare.select(F.length("needle").alias("size")).distinct().collect()]  # at most NEEDLE numbers
     if sizes:
         starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
         pieces = F.flatten(F.array(*[F.transform(starts(n), _piece(n)) for n in sorted(sizes)]))
-        met = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(pieces)).alias("needle")).join(bare, "needle").select("item_id", "needle", "doc_id", "para_idx")
-        near = near.unionByName(met)
-    hit = near.join(paras.select("doc_id", "para_idx", "text"), ["doc_id", "para_idx"]).filter(F.contains("text", "needle"))
+        near = near.unionByName(paras.select("doc_id", "para_idx", F.explode(F.array_distinct(pieces)).alias("needle")).join(bare, "needle").select("item_id", "needle", "doc_id", "para_idx"))
+    return near
+
+
+def first_hits(items: DataFrame, paras: DataFrame) -> DataFrame:
+    """(item_id, doc_id, para_idx): first place in the corpus of the first characters of each item, lines of a table of contents last.
+
+    Texts are fetched for the candidates only."""
+    hit = hit_candidates(items, paras).join(paras.select("doc_id", "para_idx", "text"), ["doc_id", "para_idx"]).filter(F.contains("text", "needle"))
     order = F.struct(T.is_contents_line(F.col("text")).cast("int"), "doc_id", "para_idx")
     return hit.groupBy("item_id").agg(F.min_by(F.struct("doc_id", "para_idx"), order).alias("p")).select("item_id", "p.*")
 

@@ -49,18 +49,25 @@ def top_n(rows: DataFrame, n: int = 500) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("selected", F.col("rank") <= n)
 
 
+#: The tag of evidence that was checked online, which raises a score. The value is fixed by the format.
+CHECKED = "[联网核实]"
+
+
 def scored(rows: DataFrame) -> DataFrame:
-    """score: weight of the severity, 0.5 for two or more issues in the group, 0.5 for a chapter hit by three or more categories."""
+    """score: weight of the severity, 0.5 for two or more issues in the group, 0.5 for a chapter hit by three or more categories,
+    0.3 for a problem with evidence that was checked online. Summed in tenths, so that equal scores are equal numbers."""
     group = F.count("*").over(Window.partitionBy("doc_id", "group_id"))
     kinds = F.size(F.collect_set("category").over(Window.partitionBy("doc_id", "chapter")))  # the categories are few and fixed
     joined = rows.withColumns({"in_group": group, "kinds": kinds})
-    score = mapped(F.col("severity"), SEVERITY_WEIGHT, 0.0) + F.when(F.col("in_group") >= 2, 0.5).otherwise(0.0) + F.when(F.col("kinds") >= 3, 0.5).otherwise(0.0)
-    return joined.withColumn("score", score)
+    tenths = mapped(F.col("severity"), {k: round(10 * v) for k, v in SEVERITY_WEIGHT.items()}, 0)
+    for holds, more in ((F.col("in_group") >= 2, 5), (F.col("kinds") >= 3, 5), (F.coalesce(F.contains("problem", F.lit(CHECKED)), F.lit(False)), 3)):
+        tenths = tenths + F.when(holds, more).otherwise(0)
+    return joined.withColumn("score", tenths / 10)
 
 
 def priority_top(rows: DataFrame, n: int = 10) -> DataFrame:
-    """The n issues of greatest score; ties by severity, then document, paragraph and position."""
-    order = [F.desc("score"), mapped(F.col("severity"), SEVERITY_RANK, 99), "doc_id", "para_idx", "seq"]
+    """The n issues of greatest score; ties by severity, chapter and id, then document and position, which make ids of several documents differ."""
+    order = [F.desc("score"), mapped(F.col("severity"), SEVERITY_RANK, 99), "chapter", "id", "doc_id", "seq"]
     return scored(rows).orderBy(*order).limit(n)
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from redpen.functions import spans as M
 from redpen.operators import asof, intervals, near
+from redpen.operators import redact as X
 from redpen.operators.crossref import AUTHOR
 from redpen.plans.registry import PARAS, query
+from redpen.sources import store
 from redpen.sources.tables import paragraphs, table, with_offsets
 
 # Match spans
@@ -17,9 +19,9 @@ from redpen.sources.tables import paragraphs, table, with_offsets
 PATTERNS = {"name": AUTHOR, "number": r"[0-9]{2,4}", "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 
 
-def _spans_sql(kind: str) -> str:
+def _spans_sql(kind: str, pattern: str = "") -> str:
     """Places of matches of a pattern in DuckDB: gaps and matches, their lengths summed up."""
-    p = PATTERNS[kind]
+    p = pattern or PATTERNS[kind]
     return f"""SELECT doc_id, '{kind}' AS kind, k - 1 AS nr, CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS span_start, hits[k] AS hit
   FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM documents))"""
 
@@ -145,3 +147,28 @@ def near_headings(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different headings (short lines) within two edits, over the whole corpus; equal ones are `repeated_paragraphs`."""
     heads = paragraphs(table(spark, d, "documents")).filter(F.length("text").between(1, 40)).select("text")
     return near.near_pairs(heads, "text", 2)
+
+
+# Anonymised texts
+
+#: What is taken for a personal value, and in how many documents a name has to stand to be public.
+PERSONAL = {"mail": PATTERNS["mail"], "name": AUTHOR, "number": r"[0-9]{6,}"}
+PUBLIC = 10
+
+
+@query(
+    f"""WITH RECURSIVE hits AS ({" UNION ALL ".join(_spans_sql(k, p) for k, p in PERSONAL.items())}),
+found AS (SELECT doc_id, hit AS value, min(kind) AS kind, min(span_start) AS first FROM hits GROUP BY doc_id, hit),
+secret AS (SELECT *, '{X.OPEN}' || chr({X.FIRST_KIND} + list_position({sorted(PERSONAL)}, kind) - 1) || translate(CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY first, value) AS VARCHAR), '0123456789', '{X.DIGITS}') || '{X.CLOSE}' AS mark,
+  row_number() OVER (PARTITION BY doc_id ORDER BY length(value) DESC, value) AS nr, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM found WHERE (kind, value) NOT IN (SELECT (kind, value) FROM found WHERE kind = 'name' GROUP BY kind, value HAVING count(*) >= {PUBLIC})),
+r AS (SELECT doc_id, 0 AS nr, text FROM documents UNION ALL SELECT r.doc_id, s.nr, replace(r.text, s.value, s.mark) FROM r JOIN secret s ON s.doc_id = r.doc_id AND s.nr = r.nr + 1)
+SELECT r.doc_id, n AS n_values, md5({"".join("replace(" for _ in PERSONAL)}replace(translate(text, '{X.DIGITS}', '0123456789'), '{X.CLOSE}', '>'){"".join(f", '{X.OPEN}' || chr({X.FIRST_KIND + k}), '<{name}-')" for k, name in enumerate(sorted(PERSONAL)))}) AS redacted_md5
+FROM r JOIN (SELECT DISTINCT doc_id, n FROM secret) m ON m.doc_id = r.doc_id AND m.n = r.nr"""
+)
+def redacted_by_value(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in which every personal value found anywhere in the document is a numbered placeholder; public names stay."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    values = store.written(X.found_values(docs, PERSONAL), "values")
+    found = X.redacted(docs, PERSONAL, X.public_values(values, "name", PUBLIC), values)
+    return found.select("doc_id", "n_values", F.md5("text").alias("redacted_md5"))

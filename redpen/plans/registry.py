@@ -14,6 +14,7 @@ from redpen.operators import issues as I
 from redpen.operators import locate as L
 from redpen.operators import rank as R
 from redpen.operators import report as P
+from redpen.schema import EVIDENCE
 from redpen.sources.tables import listing_page, paragraphs, table, with_offsets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,20 +124,22 @@ def issues_normalised(spark: SparkSession, d: str) -> DataFrame:
     return I.normalise(_broken(spark, d)).select("doc_id", "seq", "source", "category", "severity", "scope", "para_idx", "excerpt", "problem", "id")
 
 
-@query(
-    ALL
-    + f""", {_BROKEN} SELECT doc_id, seq, rule_no, message FROM (
-  SELECT *, 1 AS rule_no, 'category' AS message FROM broken WHERE category = 'odd'
-  UNION ALL SELECT *, 2, 'severity' FROM broken WHERE severity = 'info'
-  UNION ALL SELECT *, 4, 'id pattern' FROM broken WHERE NOT regexp_matches(id, '^thesis-(structure|academic-integrity|language)-[0-9]{{3}}$')
-  UNION ALL SELECT *, 6, 'id category' FROM broken WHERE category = 'odd'
-  UNION ALL SELECT *, 7, 'excerpt scope' FROM broken WHERE scope = 'chapter' AND excerpt <> ''
-  UNION ALL SELECT *, 8, 'excerpt length' FROM broken WHERE length(excerpt) > 60
-  UNION ALL SELECT *, 12, 'paragraph index' FROM broken WHERE para_idx < -1)"""
-)
+_WORSE = """worse AS (SELECT * REPLACE (CASE WHEN seq % 13 = 0 THEN 'web' ELSE source END AS source, CASE WHEN seq % 17 = 0 THEN 'page' ELSE scope END AS scope, CASE WHEN seq % 19 = 0 THEN 'x' || id ELSE id END AS id, CASE WHEN seq % 10 = 0 THEN anchor_text || anchor_text ELSE anchor_text END AS anchor_text,
+  CASE WHEN seq % 9 = 0 THEN repeat('p', 201) ELSE problem END AS problem, CASE WHEN seq % 14 = 0 THEN '' ELSE chapter END AS chapter, CASE WHEN seq % 15 = 0 THEN 'g-1' ELSE group_id END AS group_id) FROM broken)"""
+_RULES = (
+    ("source", "source = 'web'"), ("category", "category = 'odd'"), ("severity", "severity = 'info'"), ("scope", "scope = 'page'"),
+    ("id pattern", "NOT regexp_matches(id, '^thesis-(structure|academic-integrity|language)-[0-9]{3}$')"), ("id source", "string_split(id, '-')[1] <> source"),
+    ("id category", "NOT starts_with(id, source || '-' || category || '-')"), ("excerpt scope", "scope = 'chapter' AND excerpt <> ''"), ("excerpt length", "length(excerpt) > 60"), ("anchor length", "length(anchor_text) > 60"),
+    ("problem length", "length(problem) NOT BETWEEN 1 AND 200"), ("chapter", "chapter = ''"), ("paragraph index", "para_idx < -1"), ("group pattern", "NOT regexp_matches(group_id, '^g-[0-9]{3,}$')"),
+)
+
+
+@query(ALL + f", {_BROKEN}, {_WORSE} " + " UNION ALL ".join(f"SELECT doc_id, seq, {k} AS rule_no, '{m}' AS message FROM worse WHERE {bad}" for k, (m, bad) in enumerate(_RULES)))
 def issues_validated(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each rule that a damaged issue violates."""
-    return I.violations(_broken(spark, d))
+    """One row for each of the fourteen rules that a damaged issue violates."""
+    s = F.col("seq")
+    damage = {"source": (13, F.lit("web")), "scope": (17, F.lit("page")), "id": (19, F.concat(F.lit("x"), "id")), "anchor_text": (10, F.concat("anchor_text", "anchor_text")), "problem": (9, F.lit("p" * 201)), "chapter": (14, F.lit("")), "group_id": (15, F.lit("g-1"))}
+    return I.violations(_broken(spark, d).withColumns({c: F.when(s % k == 0, bad).otherwise(F.col(c)) for c, (k, bad) in damage.items()}))
 
 
 @query(ALL + "SELECT doc_id, seq, excerpt FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, excerpt ORDER BY seq) AS k FROM grouped) WHERE k > 1")
@@ -190,15 +193,19 @@ def top_n_with_overflow(spark: SparkSession, d: str) -> DataFrame:
     return R.top_n(_issues(spark, d), 5).select("doc_id", "seq", "rank", "selected")
 
 
-_SCORED = f""", scored AS (SELECT g.*, CASE severity WHEN 'fatal' THEN 3.0 WHEN 'major' THEN 2.0 ELSE 1.0 END + CASE WHEN count(*) OVER (PARTITION BY g.doc_id, group_id) >= 2 THEN 0.5 ELSE 0 END + CASE WHEN kinds >= 3 THEN 0.5 ELSE 0 END AS score
-  FROM grouped g JOIN (SELECT doc_id, chapter, count(DISTINCT category) AS kinds FROM grouped GROUP BY doc_id, chapter) USING (doc_id, chapter))
-  SELECT doc_id, seq, id, severity, para_idx, CAST(score AS DOUBLE) AS score FROM scored ORDER BY score DESC, {RANK}, doc_id, para_idx, seq LIMIT 10"""
+_TAGS = "[" + ", ".join(f"'{t}'" for t in EVIDENCE) + "]"
+_SCORED = f""", tagged AS (SELECT *, '[' || {_TAGS}[doc_id % {len(EVIDENCE)} + 1] || '] ' || problem AS said FROM grouped),
+  scored AS (SELECT g.*, CASE severity WHEN 'fatal' THEN 30 WHEN 'major' THEN 20 ELSE 10 END + CASE WHEN count(*) OVER (PARTITION BY g.doc_id, group_id) >= 2 THEN 5 ELSE 0 END + CASE WHEN kinds >= 3 THEN 5 ELSE 0 END + CASE WHEN contains(said, '{R.CHECKED}') THEN 3 ELSE 0 END AS tenths
+  FROM tagged g JOIN (SELECT doc_id, chapter, count(DISTINCT category) AS kinds FROM grouped GROUP BY doc_id, chapter) USING (doc_id, chapter))
+  SELECT doc_id, seq, id, severity, chapter, para_idx, CAST(tenths AS DOUBLE) / 10 AS score FROM scored ORDER BY tenths DESC, {RANK}, chapter, id, doc_id, seq LIMIT 10"""
 
 
 @query(ALL + _SCORED)
 def flagship_top10(spark: SparkSession, d: str) -> DataFrame:
-    """The ten issues of highest priority in the corpus."""
-    return R.priority_top(_issues(spark, d)).select("doc_id", "seq", "id", "severity", "para_idx", "score")
+    """The ten issues of highest priority in the corpus; problems carry a tag of evidence, dealt by document."""
+    tag = F.element_at(F.array(*[F.lit(t) for t in EVIDENCE]), (F.col("doc_id") % len(EVIDENCE) + 1).cast("int"))
+    tagged = _issues(spark, d).withColumn("problem", F.concat(F.lit("["), tag, F.lit("] "), "problem"))
+    return R.priority_top(tagged).select("doc_id", "seq", "id", "severity", "chapter", "para_idx", "score")
 
 
 @query(

@@ -259,16 +259,23 @@ def issue_lists(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.size("l").cast("long").alias("n"), F.try_element_at("l", F.lit(1))["k"].alias("k"))
 
 
-_ENDS = [e for e in T.JSON_ENDS]
-_CUT = "coalesce(" + ", ".join(f"CASE WHEN strpos(reverse(j), '{e[::-1]}') > 0 AND length(j) - strpos(reverse(j), '{e[::-1]}') - {len(e)} + 1 > 0 THEN left(j, length(j) - strpos(reverse(j), '{e[::-1]}') + 1) END" for e in _ENDS) + ", j)"
 _SHAPES = """CASE event_id % 6 WHEN 0 THEN '{"n":null,"issues":[' || props || ',' || props || ']}' WHEN 1 THEN '["' || event_type || '","' || event_type || '","x"]' WHEN 2 THEN '[[' || event_id || '],[' || user_id || '],[1]]'
   WHEN 3 THEN '{"p":' || props || ',"flag":true,"name":"' || event_type || '"}' WHEN 4 THEN '[true,false,null,' || user_id || ']' ELSE '{"k":' || event_id || '}' END"""
-_FIXED_JSON = f"""cuts AS (SELECT event_id, j, regexp_replace(regexp_replace({_CUT}, ',?\\s*"[^"]*"\\s*:\\s*"[^"]*$', ''), ',?\\s*"[^"]*"\\s*:\\s*\\S+$', '') AS c FROM (SELECT event_id, left(j, length(j) - event_id % 7) AS j FROM (SELECT event_id, {_SHAPES} AS j FROM events))),
-  counted AS (SELECT event_id, j, c, len(regexp_extract_all(c, '[{{\\[]')) - len(regexp_extract_all(c, '[}}\\]]')) AS n FROM cuts),
-  mended AS (SELECT event_id, CASE WHEN json_valid(j) THEN j WHEN n > 0 THEN c || CASE WHEN regexp_matches(c, '[\\]}}]\\s*$') THEN '}}' ELSE ']' END || repeat('}}', n - 1) ELSE c END AS repaired FROM counted)"""
-
-
-@query(f"WITH {_FIXED_JSON} SELECT event_id, repaired, json_valid(repaired) AND NOT regexp_matches(repaired, ',\\s*[\\]}}]') AS valid FROM mended")
+_STRING = r'^"[^"\\]*(?:\\[\s\S][^"\\]*)*"$'
+_FIXED_JSON = f"""cuts AS (SELECT event_id, left(j, length(j) - event_id % 7) AS j FROM (SELECT event_id, {_SHAPES} AS j FROM events)),
+  pieces AS (SELECT event_id, unnest(range(1, len(l) + 1)) AS nr, unnest(l) AS piece FROM (SELECT event_id, regexp_extract_all(j, '{T.JSON_PIECE}') AS l FROM cuts WHERE NOT json_valid(j))),
+  read AS (SELECT event_id, 0 AS nr, 0 AS pos, '' AS open, '' AS before, 0 AS keep, '' AS stack FROM cuts
+    UNION ALL SELECT event_id, nr, pos + length(piece), CASE WHEN blank OR wrong THEN open ELSE now END, CASE WHEN blank THEN before WHEN wrong THEN '!' ELSE k END,
+      CASE WHEN blank OR wrong THEN keep WHEN ends THEN pos + length(piece) WHEN comma THEN pos ELSE keep END, CASE WHEN blank OR wrong THEN stack WHEN ends THEN now WHEN comma THEN open ELSE stack END
+    FROM (SELECT *, regexp_matches(piece, '^\\s') AS blank, before = '!' OR (k IN (']', '}}') AND NOT fits) OR (open = '' AND (before <> '' OR k NOT IN ('[', '{{'))) AS wrong,
+        CASE WHEN k IN ('[', '{{') THEN open || k WHEN k IN (']', '}}') THEN left(open, length(open) - 1) ELSE open END AS now, k = ',' AND before NOT IN (',', '[', '{{', ':') AS comma,
+        (k IN ('[', '{{') AND open = '') OR k IN (']', '}}') OR ((before = ':' OR (top = '[' AND before IN ('[', ','))) AND regexp_matches(piece, '{_STRING}')) AS ends
+      FROM (SELECT r.* EXCLUDE (nr), p.nr, piece, left(piece, 1) AS k, right(open, 1) AS top, (left(piece, 1) = ']' AND right(open, 1) = '[') OR (left(piece, 1) = '}}' AND right(open, 1) = '{{') AS fits
+        FROM read r JOIN pieces p ON p.event_id = r.event_id AND p.nr = r.nr + 1))),
+  mended AS (SELECT event_id, CASE WHEN keep > 0 THEN left(j, keep) || translate(reverse(stack), '[{{', ']}}') ELSE j END AS repaired FROM cuts JOIN (SELECT event_id, arg_max(keep, nr) AS keep, arg_max(stack, nr) AS stack FROM read GROUP BY event_id) USING (event_id))"""
+
+
+@query(f"WITH RECURSIVE {_FIXED_JSON} SELECT event_id, repaired, json_valid(repaired) AND NOT regexp_matches(repaired, ',\\s*[\\]}}]') AS valid FROM mended")
 def json_repaired(spark: SparkSession, d: str) -> DataFrame:
     """JSON texts of six shapes cut off at different places, mended, and whether they can be read then."""
     s = F.col("event_id") % 6

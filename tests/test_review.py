@@ -26,9 +26,30 @@ def test_file_names_are_cut_by_bytes(spark):
 
 
 def test_json_is_repaired(spark):
-    texts = ['{"k":1}', '[{"k":1},{"k":2},{"k"', '{"a":["x","y"],"b":"cut o', "", None, "no json"]
-    # a last key whose value has no blank goes with its value, even if the value is complete
-    assert _all(spark, texts, T.repaired_json) == ['{"k":1}', "[{]}", "{]", "", None, "no json"]
+    cases = {
+        '{"k":1}': '{"k":1}', '[{"k":1},{"k":2},{"k"': '[{"k":1},{"k":2}]', '{"a":["x","y"],"b":"cut o': '{"a":["x","y"]}', '{"a": "whole"': '{"a": "whole"}', '{"a': "{}", "[1, 23": "[1]", "[1,[2,{": "[1,[2]]",
+        '["a, [b", "c\\"d", "e': '["a, [b", "c\\"d"]', '{"a":[1,2]} and more': '{"a":[1,2]} and more', '[1,{"a":2]': "[1]", "": "", None: None, "no json": "no json", '{"a":1,"b":[true,nul': '{"a":1,"b":[true]}',
+    }
+    assert _all(spark, list(cases), T.repaired_json) == list(cases.values())  # Spark reads a whole value and leaves what follows, so that stays
+
+
+def test_json_cut_anywhere_can_be_read(spark):
+    """Every cut after the first bracket gives JSON, which holds only what the whole has."""
+    import json
+
+    whole = '{"n": null, "l": [{"k": "a\\\\", "m": [1.5, -2e3, "x"]}, {"k": "[}\\"", "t": true}], "é": {"z": {}}}'
+    texts = [whole[:n] for n in range(1, len(whole) + 1)]
+    got = [json.loads(t) for t in _all(spark, texts, T.repaired_json)]
+    assert got[-1] == json.loads(whole)
+
+    def inside(part, of):
+        if isinstance(part, dict):
+            return isinstance(of, dict) and all(k in of and inside(v, of[k]) for k, v in part.items())
+        if isinstance(part, list):
+            return isinstance(of, list) and len(part) <= len(of) and all(inside(a, b) for a, b in zip(part, of, strict=False))
+        return part == of
+
+    assert all(inside(g, got[-1]) for g in got)
 
 
 def test_suggestions_are_held_to_five(spark):
