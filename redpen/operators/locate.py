@@ -23,35 +23,36 @@ def _inner_words(needle: Column) -> Column:
     return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
 
 
-def _pairs(words: Column) -> Column:
-    return F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _rarest(grams: DataFrame, counts: DataFrame, owner: list[str], scope: list[str]) -> DataFrame:
-    """(owner, gram): of each owner's grams the one that stands in the fewest paragraphs. One that stands in none settles it: there is no hit."""
-    often = grams.join(counts, [*scope, "gram"], "left").select(*owner, "gram", F.coalesce("often", F.lit(0)).alias("often"))
-    return often.groupBy(*owner).agg(F.min(F.struct("often", "gram")).alias("r")).filter("r.often > 0").select(*owner, "r.gram")
+def _words(paras: DataFrame) -> DataFrame:
+    return paras.select("doc_id", "para_idx", F.explode(F.split("text", " ")).alias("word"))
 
 
 def anchor_hits(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     """First paragraph of the anchor's document that contains the first characters of the anchor, lines of a table of contents last.
 
-    anchors: (doc_id, seq, anchor_text). An index of the paragraphs gives, for each document and each word that a needle of it has
-    inside, the paragraphs with the word; a needle's candidates are those of its rarest word, and only they are compared.
-    Anchors without a word inside meet every paragraph of their document."""
+    anchors: (doc_id, seq, anchor_text), read more than once. How often each word stands in its document is counted; a needle's
+    candidates are the paragraphs with the rarest of the words inside it. A word that stands once gives its paragraph with the
+    count; for the others the words are gone through again. Words are known by a hash with their document: two that share one
+    only give more candidates, all of which are compared. Anchors without a word inside meet every paragraph of their document."""
     needle = F.substring(T.strip(F.col("anchor_text")), 1, NEEDLE)
-    # read several times below, so the plan behind the anchors runs once
-    wanted = written(anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''").withColumn("words", _inner_words(F.col("needle"))), "needles")
-    grams = wanted.select("doc_id", "seq", F.explode(F.array_distinct("words")).alias("gram"))
-    words = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.split("text", " "))).alias("gram"))
-    postings = words.groupBy("doc_id", "gram").agg(F.collect_list("para_idx").alias("at"))
-    index = written(postings.join(grams.select("doc_id", "gram"), ["doc_id", "gram"], "left_semi").withColumn("often", F.size("at")), "index")
-    keyed = _rarest(grams, index.select("doc_id", "gram", "often"), ["doc_id", "seq"], ["doc_id"])
-    near = keyed.join(index, ["doc_id", "gram"]).select("doc_id", "seq", F.explode("at").alias("para_idx"))
+    wanted = anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''").withColumn("words", _inner_words(F.col("needle")))
+    known_by = F.xxhash64("doc_id", "word").alias("gram")
+    words = _words(paras).select("doc_id", "para_idx", known_by)
+    grams = wanted.select("doc_id", "seq", "needle", F.size("words").alias("n"), F.explode("words").alias("word")).select("doc_id", "seq", "needle", "n", known_by)
+    # hash joins on the needles' side: the words, far more, need no sorting
+    counts = words.join(grams.select("gram").distinct().hint("shuffle_hash"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"), F.min("para_idx").alias("para_idx"))
+    rarest = counts.join(grams.hint("shuffle_hash"), "gram").groupBy("doc_id", "seq", "needle", "n").agg(F.min(F.struct("often", "gram", "para_idx")).alias("r"), F.count("*").alias("met"))
+    keyed = written(rarest.filter("met = n").select("doc_id", "seq", "needle", "r.*"), "keys")  # a word that stands nowhere settles it
+    once = keyed.filter("often = 1").select("doc_id", "seq", "needle", "para_idx")
+    again = keyed.filter("often > 1").select("doc_id", "seq", "needle", "gram")
+    near = once.unionByName(again.join(words.join(_small(again.select("doc_id", "gram").distinct()), ["doc_id", "gram"]).distinct(), ["doc_id", "gram"]).drop("gram"))
     texts = paras.select("doc_id", "para_idx", "text")
-    met = near.join(wanted.select("doc_id", "seq", "needle"), ["doc_id", "seq"]).join(texts, ["doc_id", "para_idx"])
     bare = wanted.filter(F.size("words") == 0).select("doc_id", "seq", "needle").join(texts, "doc_id")
-    hit = met.unionByName(bare).filter(F.contains("text", "needle"))
+    hit = near.join(texts, ["doc_id", "para_idx"]).unionByName(bare).filter(F.contains("text", "needle"))
     order = F.struct(T.is_contents_line(F.col("text")).cast("int"), "para_idx")
     place = F.struct(F.col("para_idx").alias("hit_para"), (F.instr("text", F.col("needle")) - 1).cast("long").alias("start"), F.length("text").cast("long").alias("para_chars"))
     return hit.groupBy("doc_id", "seq").agg(F.min_by(place, order).alias("p")).select("doc_id", "seq", "p.*")
@@ -67,6 +68,7 @@ def cascade(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     """Where each issue goes: its anchor's paragraph; without an anchor its own index; else the document's first paragraph.
 
     An anchor that isn't found does not fall back to the index. anchors: (doc_id, seq, anchor_text, para_idx)."""
+    anchors = written(anchors, "anchors")  # the plan behind them runs once
     hits = anchor_hits(anchors, paras)
     there = paras.select("doc_id", "para_idx", F.col("para_idx").alias("by_index"))
     first = paras.groupBy("doc_id").agg(F.min("para_idx").alias("first_para"))
@@ -81,30 +83,35 @@ def _piece(n: int) -> Callable[[Column], Column]:
     return lambda i: F.substring(F.col("text"), i, F.lit(n))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def hit_candidates(items: DataFrame, paras: DataFrame) -> DataFrame:
     """(item_id, needle, doc_id, para_idx): the paragraphs that may hold the first characters of each item.
 
-    A needle's grams are the pairs of neighbouring words inside it, or its one inner word. How many paragraphs of the corpus have
-    each of them is counted first, then the paragraphs with each needle's rarest gram are taken, so common words are no keys.
-    Needles without an inner word are joined to the paragraphs' pieces of as many characters. No text is carried along."""
+    A needle's grams are the pairs of neighbouring words inside it, or its one inner word, known by hashes. The paragraphs with any of
+    them are found by joins that carry no text; a needle's candidates are those of the gram which stands in the fewest, so common
+    words bring none. Needles without an inner word are joined to the paragraphs' pieces of as many characters."""
     needle = F.substring(T.strip(F.col("text")), 1, NEEDLE)
     inner = _inner_words(F.col("needle"))
-    wanted = written(items.select("item_id", needle.alias("needle")).filter("needle <> ''").withColumn("grams", F.when(F.size(inner) > 1, _pairs(inner)).otherwise(inner)), "needles")
-    grams = wanted.select("item_id", "needle", F.explode(F.array_distinct("grams")).alias("gram"))
-    words = F.split("text", " ")
-    met = paras.select("doc_id", "para_idx", F.explode(F.array_distinct(F.concat(words, _pairs(words)))).alias("gram"))
-    counts = written(met.join(_small(grams.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("often")), "counts")
-    keyed = written(_rarest(grams, counts, ["item_id", "needle"], []), "keys")
-    near = met.join(_small(keyed), "gram").select("item_id", "needle", "doc_id", "para_idx")
-    bare = wanted.filter(F.size("grams") == 0).select("item_id", "needle")
-    sizes = [r["size"] for r in bare.select(F.length("needle").alias("size")).distinct().collect()]  # at most NEEDLE numbers
-    if sizes:
+    wanted = written(items.select("item_id", needle.alias("needle")).filter("needle <> ''").withColumns({"w": inner, "n": F.size(inner)}), "needles")
+    found = wanted.agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("single"), F.collect_set(F.when(F.col("n") == 0, F.length("needle"))).alias("sizes")).first()  # at most NEEDLE sizes
+    hint = F.broadcast if found["rows"] * NEEDLE <= BROADCAST_ROWS else (lambda df: df)
+    # (word, next word) of a row's words; the last word has none
+    twos = lambda df, *carry: df.select(*carry, F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("p")).select(*carry, "p.*")
+    pair, one = F.xxhash64("a", "b").alias("gram"), F.xxhash64("a").alias("gram")
+    grams = twos(wanted.filter("n > 1"), "item_id", "needle").filter("b is not null").select("item_id", "needle", pair)
+    words = twos(paras.select("doc_id", "para_idx", F.split("text", " ").alias("w")), "doc_id", "para_idx")
+    met = words.filter("b is not null").select("doc_id", "para_idx", pair)
+    if found["single"]:
+        grams = grams.unionByName(wanted.filter("n = 1").select("item_id", "needle", F.col("w")[0].alias("a")).select("item_id", "needle", one))
+        met = met.unionByName(words.select("doc_id", "para_idx", one))
+    met = written(met.join(hint(grams.select("gram").distinct()), "gram").distinct(), "met")
+    often = grams.join(met.groupBy("gram").agg(F.count("*").alias("often")), "gram", "left")
+    # a gram that stands nowhere settles it: there is no hit
+    keyed = often.groupBy("item_id", "needle").agg(F.min(F.struct("often", "gram")).alias("r"), F.count_if(F.col("often").isNull()).alias("lacking")).filter("lacking = 0").select("item_id", "needle", "r.gram")
+    near = met.join(hint(keyed), "gram").select("item_id", "needle", "doc_id", "para_idx")
+    if found["sizes"]:
+        bare = wanted.filter("n = 0").select("item_id", "needle")
         starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
-        pieces = F.flatten(F.array(*[F.transform(starts(n), _piece(n)) for n in sorted(sizes)]))
+        pieces = F.flatten(F.array(*[F.transform(starts(n), _piece(n)) for n in sorted(found["sizes"])]))
         near = near.unionByName(paras.select("doc_id", "para_idx", F.explode(F.array_distinct(pieces)).alias("needle")).join(bare, "needle").select("item_id", "needle", "doc_id", "para_idx"))
     return near
 

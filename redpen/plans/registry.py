@@ -15,6 +15,7 @@ from redpen.operators import locate as L
 from redpen.operators import rank as R
 from redpen.operators import report as P
 from redpen.schema import EVIDENCE
+from redpen.sources.store import written
 from redpen.sources.tables import listing_page, paragraphs, table, with_offsets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,10 +242,14 @@ _HITS = f""", anchors AS (SELECT doc_id, seq, anchor_text, para_idx FROM grouped
   FROM (SELECT *, substr(trim(anchor_text, ' '), 1, 30) AS needle FROM anchors) a JOIN paras p ON a.doc_id = p.doc_id AND contains(p.text, needle) WHERE needle <> '') WHERE k = 1)"""
 
 
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    return written(_issues(spark, d).select("doc_id", "seq", "anchor_text"), "anchors")
+
+
 @query(ALL + _HITS + " SELECT doc_id, seq, hit_para, start, start AS span_start, least(start + 30, para_chars) AS span_end FROM hits")
 def anchor_span(spark: SparkSession, d: str) -> DataFrame:
     """Paragraph and character span of each issue's anchor."""
-    hits = L.anchor_hits(_issues(spark, d).select("doc_id", "seq", "anchor_text"), _paras(spark, d))
+    hits = L.anchor_hits(_anchors(spark, d), _paras(spark, d))
     return L.anchor_spans(hits).select("doc_id", "seq", "hit_para", "start", "span_start", "span_end")
 
 
@@ -264,7 +269,7 @@ def anchor_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ALL + _HITS + " SELECT doc_id, seq, hit_para, comment_id, row_number() OVER (PARTITION BY doc_id, hit_para ORDER BY start DESC, comment_id) AS write_order FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS comment_id FROM hits)")
 def annotation_plan(spark: SparkSession, d: str) -> DataFrame:
-    hits = L.anchor_hits(_issues(spark, d).select("doc_id", "seq", "anchor_text"), _paras(spark, d))
+    hits = L.anchor_hits(_anchors(spark, d), _paras(spark, d))
     return L.annotation_plan(L.anchor_spans(hits)).select("doc_id", "seq", "hit_para", "comment_id", "write_order")
 
 
