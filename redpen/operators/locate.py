@@ -79,6 +79,56 @@ def cascade(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     return joined.select("doc_id", "seq", F.coalesce(place, "first_para").alias("place"), how.alias("how"))
 
 
+#: The keys of a table cell's paragraph, and what a comment says that could not be put where it belongs (the wording is fixed by the format).
+CELL = ("table_index", "row", "col", "cell_para")
+TO_DOCUMENT, TO_CHAPTER = "⚠️ 精确定位失败, 挂到文档开头", "⚠️ 精确定位失败, 挂到本章开头"
+
+
+def mounted(issues: DataFrame, paras: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, seq, place, how, warning): the paragraph of every issue whose document has one, and which arm found it.
+
+    issues: (doc_id, seq, anchor_text, para_idx, chapter, cell keys), cells: (doc_id, cell keys, para_idx). An issue with all
+    cell keys is looked for there only, one with an anchor by that only, others by their index. What isn't found goes to the
+    first paragraph that holds its chapter, contents lines included, else to the document's first, with a warning. Chapters are
+    looked for once for each document and chapter, and only for issues that nothing else found."""
+    rows = written(issues.select("doc_id", "seq", "anchor_text", "para_idx", "chapter", *CELL), "issues")  # the plan behind them runs once
+    whole = F.lit(True)
+    for c in CELL:
+        whole = whole & F.col(c).isNotNull()
+    anchored = T.strip(F.coalesce("anchor_text", F.lit(""))) != ""
+    rows = rows.withColumn("arm", F.when(whole, "cell").when(anchored, "anchor").otherwise("index"))
+    keys = ["doc_id", "seq"]
+    by_cell = rows.filter("arm = 'cell'").select(*keys, *CELL).join(cells.groupBy("doc_id", *CELL).agg(F.min("para_idx").alias("place")), ["doc_id", *CELL])
+    by_anchor = anchor_hits(rows.filter("arm = 'anchor'").select(*keys, "anchor_text"), paras).withColumnRenamed("hit_para", "place")
+    by_index = rows.filter("arm = 'index'").select(*keys, "para_idx").join(paras.select("doc_id", "para_idx"), ["doc_id", "para_idx"]).withColumnRenamed("para_idx", "place")
+    found = by_cell.select(*keys, "place").unionByName(by_anchor.select(*keys, "place")).unionByName(by_index.select(*keys, "place"))
+    placed = written(rows.select(*keys, "arm", T.strip(F.coalesce("chapter", F.lit(""))).alias("chapter")).join(found, keys, "left"), "placed")
+    chapters = placed.filter("place is null and chapter <> ''").select("doc_id", "chapter").distinct()
+    heads = chapters.join(paras.select("doc_id", "para_idx", "text"), "doc_id").filter(F.contains("text", "chapter")).groupBy("doc_id", "chapter").agg(F.min("para_idx").alias("head"))
+    first = paras.groupBy("doc_id").agg(F.min("para_idx").alias("first"))
+    to = F.coalesce("place", "head", "first")
+    warning = F.when(F.col("place").isNull(), F.when(F.coalesce("head", "first") == F.col("first"), TO_DOCUMENT).otherwise(TO_CHAPTER))
+    how = F.when(F.col("place").isNotNull(), F.col("arm")).when(F.coalesce("head", "first") == F.col("first"), "document").otherwise("chapter")
+    return placed.join(heads, ["doc_id", "chapter"], "left").join(first, "doc_id").select(*keys, to.alias("place"), how.alias("how"), warning.alias("warning"))
+
+
+def offset_span(text: Column, char_offset: Column, anchor: Column, sentence: Column) -> Column:
+    """(span_start, span_end) inside a paragraph: ten characters from a given offset, else the first of the anchor's 30 characters, else the
+    sentence of that number, with its ender, else the paragraph. Negative numbers and nulls are not given."""
+    size, needle = F.length(text), F.substring(T.strip(F.coalesce(anchor, F.lit(""))), 1, NEEDLE)
+    span = lambda a, b: F.struct(a.cast("long").alias("span_start"), b.cast("long").alias("span_end"))
+    at = F.instr(text, needle) - 1
+    sizes = F.transform(T.sentences(text), lambda s: F.length(s) + 1)
+    begin = F.aggregate(F.slice(sizes, F.lit(1), F.greatest(sentence.cast("int"), F.lit(0))), F.lit(0), lambda a, n: a + n)
+    offset = F.least(char_offset, size)
+    return (
+        F.when(char_offset >= 0, span(offset, F.least(offset + 10, size)))
+        .when((needle != "") & (at >= 0), span(at, F.least(at + F.length(needle), size)))
+        .when((sentence >= 0) & (sentence < F.size(sizes)) & (begin < size), span(begin, F.least(begin + F.get(sizes, F.greatest(sentence.cast("int"), F.lit(0))), size)))
+        .otherwise(span(F.lit(0), size))
+    )
+
+
 def _piece(n: int) -> Callable[[Column], Column]:
     return lambda i: F.substring(F.col("text"), i, F.lit(n))
 

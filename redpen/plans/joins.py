@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from redpen.functions import spans as M
 from redpen.operators import asof, intervals, near
+from redpen.operators import locate as L
 from redpen.operators import redact as X
 from redpen.operators.crossref import AUTHOR
-from redpen.plans.registry import PARAS, query
+from redpen.plans.registry import _HITS, ALL, PARAS, _issues, query
 from redpen.sources import store
 from redpen.sources.tables import paragraphs, table, with_offsets
 
@@ -172,3 +173,40 @@ def redacted_by_value(spark: SparkSession, d: str) -> DataFrame:
     values = store.written(X.found_values(docs, PERSONAL), "values")
     found = X.redacted(docs, PERSONAL, X.public_values(values, "name", PUBLIC), values)
     return found.select("doc_id", "n_values", F.md5("text").alias("redacted_md5"))
+
+
+# Where comments go
+
+
+_MOUNTED = f""", damaged AS (SELECT doc_id, seq, para_idx AS own, CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 5 = 0 THEN 'no such text here' ELSE anchor_text END AS anchor_text, CASE WHEN seq % 2 = 0 THEN para_idx ELSE 999999 END AS para_idx, CASE WHEN seq % 4 = 1 THEN left(anchor_text, 5) ELSE 'no such chapter' END AS chapter,
+  seq % 6 = 0 AS cell, seq % 12 = 0 AS in_cell, CASE WHEN seq % 7 = 0 THEN seq END AS char_offset, CASE WHEN seq % 4 = 2 THEN seq % 3 END AS sentence_index FROM grouped),
+anchors AS (SELECT doc_id, seq, anchor_text FROM damaged WHERE NOT cell){_HITS.split("FROM grouped)", 1)[1]},
+placed AS (SELECT a.*, CASE WHEN cell THEN CASE WHEN in_cell AND own % 4 = 0 THEN own END WHEN a.anchor_text <> '' THEN hit_para ELSE p.para_idx END AS place, CASE WHEN cell THEN 'cell' WHEN a.anchor_text <> '' THEN 'anchor' ELSE 'index' END AS arm
+  FROM damaged a LEFT JOIN hits h ON a.doc_id = h.doc_id AND a.seq = h.seq LEFT JOIN paras p ON p.doc_id = a.doc_id AND p.para_idx = a.para_idx),
+heads AS (SELECT c.doc_id, chapter, min(para_idx) AS head FROM (SELECT DISTINCT doc_id, trim(chapter) AS chapter FROM placed WHERE place IS NULL AND trim(chapter) <> '') c JOIN paras p ON p.doc_id = c.doc_id AND contains(text, chapter) GROUP BY ALL),
+mounted AS (SELECT p.*, coalesce(place, head, 0) AS spot, CASE WHEN place IS NOT NULL THEN arm WHEN coalesce(head, 0) = 0 THEN 'document' ELSE 'chapter' END AS how FROM placed p LEFT JOIN heads h ON h.doc_id = p.doc_id AND h.chapter = trim(p.chapter)),
+sized AS (SELECT doc_id, para_idx, sent_idx, sum(length(sentence) + 1) OVER (PARTITION BY doc_id, para_idx ORDER BY sent_idx) AS upto, length(sentence) + 1 AS n FROM sents),
+spots AS (SELECT m.*, length(text) AS size, strpos(text, substr(trim(m.anchor_text), 1, 30)) - 1 AS hit, length(substr(trim(m.anchor_text), 1, 30)) AS n_needle, upto - n AS begins, upto FROM mounted m JOIN paras p ON p.doc_id = m.doc_id AND p.para_idx = spot LEFT JOIN sized s ON s.doc_id = m.doc_id AND s.para_idx = spot AND s.sent_idx = sentence_index AND upto - n < length(text))
+SELECT doc_id, seq, spot AS place, how, CASE how WHEN 'document' THEN '{L.TO_DOCUMENT}' WHEN 'chapter' THEN '{L.TO_CHAPTER}' END AS warning,
+  CAST(CASE WHEN char_offset IS NOT NULL THEN least(char_offset, size) WHEN n_needle > 0 AND hit >= 0 THEN hit WHEN begins IS NOT NULL THEN begins ELSE 0 END AS BIGINT) AS span_start,
+  CAST(CASE WHEN char_offset IS NOT NULL THEN least(least(char_offset, size) + 10, size) WHEN n_needle > 0 AND hit >= 0 THEN least(hit + n_needle, size) WHEN begins IS NOT NULL THEN least(upto, size) ELSE size END AS BIGINT) AS span_end FROM spots"""
+
+
+@query(ALL + _MOUNTED)
+def mounted_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraph and span of every comment by all arms: cell, anchor, index, chapter, document; offset, anchor, sentence, paragraph. Issues are
+    damaged by rules on their number; every fourth line counts as a table cell."""
+    s, para = F.col("seq"), F.col("para_idx")
+    cell = {"table_index": F.floor(para / 10), "row": para % 10, "col": F.lit(0), "cell_para": F.when(s % 12 == 0, 0).otherwise(1)}
+    issues = _issues(spark, d).select(
+        "doc_id", "seq", F.when(s % 3 == 0, "").when(s % 5 == 0, "no such text here").otherwise(F.col("anchor_text")).alias("anchor_text"), F.when(s % 2 == 0, para).otherwise(999999).alias("para_idx"),
+        F.when(s % 4 == 1, F.left("anchor_text", F.lit(5))).otherwise("no such chapter").alias("chapter"), *[F.when(s % 6 == 0, v).cast("long").alias(c) for c, v in cell.items()],
+        F.when(s % 7 == 0, s).alias("char_offset"), F.when(s % 4 == 2, s % 3).alias("sentence_index"),
+    )
+    issues = store.written(issues, "issues")
+    paras = paragraphs(table(spark, d, "documents"))
+    p = F.col("para_idx")
+    cells = paras.filter(p % 4 == 0).select("doc_id", F.floor(p / 10).alias("table_index"), (p % 10).alias("row"), F.lit(0).cast("long").alias("col"), F.lit(0).cast("long").alias("cell_para"), "para_idx")
+    places = L.mounted(issues, paras, cells).join(issues.select("doc_id", "seq", "anchor_text", "char_offset", "sentence_index"), ["doc_id", "seq"]).join(paras.withColumnRenamed("para_idx", "place"), ["doc_id", "place"])
+    span = L.offset_span(F.col("text"), F.col("char_offset"), F.col("anchor_text"), F.col("sentence_index"))
+    return places.withColumn("span", span).select("doc_id", "seq", "place", "how", "warning", "span.*")

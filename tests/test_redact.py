@@ -51,6 +51,27 @@ def test_every_rule_fires(spark, data):
     assert {r["rule_no"] for r in QUERIES["issues_validated"](spark, data.replace("sf0.001", "sf0.01")).select("rule_no").distinct().collect()} == set(range(14))
 
 
+def test_spans_inside_a_paragraph(spark):
+    rows = [("A.b 3.5。好?!", None, "", 1), ("A.b 3.5。好?!", None, "", 2), ("A.b 3.5。好?!", None, None, 7), ("12345678", 5, "x", 0), ("12345678", 99, None, None), ("xyz" + "a" * 47, None, "a" * 40, None), ("ab", -1, "zz", -1), ("", 3, "a", 0), ("one. two", None, "none", 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, text string, off long, anchor string, sentence long")
+    span = locate.offset_span(F.col("text"), F.col("off"), F.col("anchor"), F.col("sentence"))
+    assert [tuple(r["s"]) for r in df.select("i", span.alias("s")).orderBy("i").collect()] == [(8, 10), (10, 11), (0, 11), (5, 8), (8, 8), (3, 33), (0, 2), (0, 0), (4, 8)]
+
+
+def test_every_arm_of_the_cascade(spark):
+    paras = spark.createDataFrame([(1, 0, "start"), (1, 1, "Chapter Two ... 12"), (1, 2, "the alpha beta text"), (2, 0, "only line")], "doc_id long, para_idx long, text string")
+    cells = spark.createDataFrame([(1, 0, 1, 2, 0, 2)], "doc_id long, table_index long, row long, col long, cell_para long, para_idx long")
+    none = (None,) * 4
+    rows = [(1, 1, "alpha beta", 0, "", 0, 1, 2, 0), (1, 2, "alpha beta", 0, "Chapter Two", 0, 1, 2, 9), (1, 3, "alpha beta", 0, "", *none), (1, 4, "missing", 2, "Chapter Two", *none), (1, 5, "missing", 2, " start ", *none),
+            (1, 6, "", 2, None, *none), (1, 7, None, 9, None, *none), (1, 8, "  ", -1, "nowhere", *none), (2, 1, "alpha beta", 0, "Chapter Two", 0, None, 2, 0), (3, 1, "", 0, "", *none)]
+    issues = spark.createDataFrame(rows, "doc_id long, seq long, anchor_text string, para_idx long, chapter string, table_index long, row long, col long, cell_para long")
+    got = {(r["doc_id"], r["seq"]): (r["place"], r["how"], {None: None, locate.TO_CHAPTER: "c", locate.TO_DOCUMENT: "d"}[r["warning"]]) for r in locate.mounted(issues, paras, cells).collect()}
+    assert got == {
+        (1, 1): (2, "cell", None), (1, 2): (1, "chapter", "c"), (1, 3): (2, "anchor", None), (1, 4): (1, "chapter", "c"), (1, 5): (0, "document", "d"),
+        (1, 6): (2, "index", None), (1, 7): (0, "document", "d"), (1, 8): (0, "document", "d"), (2, 1): (0, "document", "d"),
+    }
+
+
 def test_few_candidates_for_each_needle(spark):
     """The rarest gram of a needle leaves under twenty paragraphs for each on average, of 95,000."""
     d = "/root/testdata/sf0.1"
