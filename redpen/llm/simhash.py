@@ -2,13 +2,14 @@
 
 A 64-bit fingerprint is a ring of five segments. If two fingerprints differ in at most 2 bits, then
 from some segment on, every chain of l consecutive segments differs in at most 2*l/5 bits: 0 bits in
-one and two segments, 1 in three and four, 2 in all five. So candidates share two neighbouring
-segments (25 or 26 bits, an equi-join) and are pruned by the longer chains before the full check.
-
-Only distinct fingerprints are compared, and no bucket is compared as a whole: inside it fingerprints are
-dealt again to the values within 1 bit of them outside the two shared segments. Two that differ in at most
-2 bits have such a value in common, and at most 40 fingerprints can meet at one, so the pairs that are
-made follow the links there are, however many fingerprints share two segments.
+one and two segments, 1 in three and four, 2 in all five. The chains are join keys: fingerprints that share
+two neighbouring segments with another are kept, and two of them meet where, from the same segment on, four segments
+differ in one bit at most: one side has its four segments as key, the other these and those with one bit of the third
+or fourth changed. Whatever differs more in a chain never becomes a pair; the fifth segment is left to the
+Hamming check.
+
+Only distinct fingerprints are compared. A key of four segments has at most as many fingerprints as the fifth has
+values, so however many fingerprints share two or three segments, no key is hot.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redpen.llm.base import column_bytes, small_batches, written
@@ -73,34 +74,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _differ(a: Column, b: Column, mask: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(_signed(mask))))
+def _ring(distinct: DataFrame) -> DataFrame:
+    """(fp, i, key): the two neighbouring segments from each segment i on."""
+    masks, m = _masks(), len(WIDTHS)
+    rings = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(masks[i] | masks[(i + 1) % m]))).alias("key")) for i in range(m)])
+    return distinct.select("fp", F.explode(rings).alias("k")).select("fp", "k.i", "k.key")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) of all distinct fingerprints (column fp) that differ in at most 2 bits, a < b."""
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: distinct fingerprints (column fp) that keep the budgets of all chains up to four segments from some segment on; a pair comes once for each."""
     masks, m = _masks(), len(WIDTHS)
-    rings = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(masks[i] | masks[(i + 1) % m]))).alias("key")) for i in range(m)])
-    rows = distinct.select("fp", F.explode(rings).alias("k")).select("fp", "k.i", "k.key")
+    rows = _ring(distinct)
     twice = written(rows.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1").select("i", "key"), "ring")
-    shared = rows.join(twice, ["i", "key"], "left_semi")
-
-    # the value itself, and those with one bit changed outside segments i and i + 1
-    outside = [[0, *(1 << b for b in range(64) if not (masks[i] | masks[(i + 1) % m]) >> b & 1)] for i in range(m)]
-    flips = F.array(*[F.array(*[F.lit(_signed(x)) for x in own]) for own in outside])
-    centres = shared.select("fp", "i", F.explode(flips[F.col("i")]).alias("flip")).groupBy("i", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).agg(F.sort_array(F.collect_list("fp")).alias("met"))
-    every = F.expr("explode(flatten(transform(met, (x, p) -> transform(slice(met, p + 2, size(met)), y -> struct(x as a, y as b)))))").alias("pair")
-    candidates = centres.filter(F.size("met") > 1).select("i", every).select("i", "pair.a", "pair.b")
-
-    chains = F.lit(False)
-    for i in range(m):
-        ok = F.col("i") == i
-        for length in range(3, m):
-            mask = sum(masks[(i + k) % m] for k in range(length))
-            ok &= _differ(F.col("a"), F.col("b"), mask) <= length * MAX_BITS // m
-        chains |= ok
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return candidates.filter(chains).filter(near).select("a", "b").distinct()
+    shared = written(rows.join(twice, ["i", "key"], "left_semi").select("fp", "i"), "shared")
+    four = F.array(*[F.lit(_signed(sum(masks[(i + k) % m] for k in range(4)))) for i in range(m)])
+    # the value itself, and those with one bit changed in the third or fourth segment
+    budget = [[0, *(1 << b for b in range(64) if (masks[(i + 2) % m] | masks[(i + 3) % m]) >> b & 1)] for i in range(m)]
+    flips = F.array(*[F.array(*[F.lit(_signed(x)) for x in own]) for own in budget])
+    left = shared.select(F.col("fp").alias("a"), "i", F.col("fp").bitwiseAND(four[F.col("i")]).alias("key"))
+    right = shared.select(F.col("fp").alias("b"), "i", F.explode(flips[F.col("i")]).alias("flip")).select("b", "i", F.col("b").bitwiseXOR(F.col("flip")).bitwiseAND(four[F.col("i")]).alias("key"))
+    return left.join(right, ["i", "key"]).filter(F.col("a") < F.col("b")).select("a", "b")
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b) of all distinct fingerprints (column fp) that differ in at most 2 bits, a < b."""
+    return candidates(distinct).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -446,6 +446,17 @@ def test_links_in_a_hot_bucket(spark):
     got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
+    # candidates are the pairs that keep the budget of every chain of up to four segments from some segment on; only they meet the full check
+    masks = [((1 << w) - 1) << sum(simhash.WIDTHS[:k]) for k, w in enumerate(simhash.WIDTHS)]
+
+    def kept(x, y):
+        parts = [bin((x ^ y) & m).count("1") for m in masks]
+        return any(all(sum(parts[(i + k) % 5] for k in range(n)) <= 2 * n // 5 for n in range(1, 5)) for i in range(5))
+
+    tried = {(r["a"], r["b"]) for r in simhash.candidates(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()}
+    assert tried == {tuple(sorted((signed(x), signed(y)))) for k, x in enumerate(fps) for y in fps[:k] if kept(x, y)}
+    assert want < tried and len(tried) < len(fps) * (len(fps) - 1) / 2 / 20
+
 
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (None, 1), (3, 1), *((k, k + 1) for k in range(100, 140))], "a long, b long")
