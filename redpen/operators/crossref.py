@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from redpen.functions.text import key_of
+
 # Fixed value: the form of a Western name that both sides of a cross-reference have to agree on.
 AUTHOR = r"([A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)"
 
@@ -22,6 +24,21 @@ def crossref(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "author", "full_outer").select("author", status.alias("status"), F.coalesce("text_count", F.lit(0)).alias("text_count"), F.coalesce("refs_count", F.lit(0)).alias("refs_count"))
 
 
+def citation_gaps(cited: DataFrame, refs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(doc_id, nr, author, year, kind, severity) of citations without a reference and references without a citation.
+
+    cited and refs: (doc_id, nr, author, year), met by the normal form of the author and the year, of which a missing one meets a
+    missing one. A reference whose nr is not among numbers (nr) is not cited by number: if a citation has its key, the format is
+    inconsistent, else it is not cited at all. Only distinct keys stand on the other side of a join, so rows are never multiplied."""
+    keyed = lambda df: df.select("doc_id", "nr", "author", "year", key_of(F.col("author")).alias("form"), F.coalesce(F.col("year").cast("string"), F.lit("")).alias("of"))
+    cited, refs, key = keyed(cited), keyed(refs), ["form", "of"]
+    told = lambda df, kind, severity: df.select("doc_id", "nr", "author", "year", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    known, named = refs.select(*key).distinct(), cited.select(*key).distinct()
+    unnumbered = refs.join(numbers.select("nr").distinct(), "nr", "left_anti")
+    missing = told(cited.join(known, key, "left_anti"), "footnote_missing_reference", "major")
+    return missing.unionByName(told(unnumbered.join(named, key, "left_semi"), "citation_format_inconsistent", "major")).unionByName(told(unnumbered.join(named, key, "left_anti"), "reference_not_cited", "minor"))
+
+
 def sequence_audit(rows: DataFrame, group: str, number: str, tie: str) -> DataFrame:
     """(group, number, expected, kind, missing): gaps and repeats of numbers that should run 1, 2, 3, ...
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redpen.functions.text import escaped, mapped, stable_id, table_cell
-from redpen.schema import CATEGORIES, SEVERITY_LABEL, SEVERITY_RANK
+from redpen.schema import CATEGORIES, CATEGORY_LABEL, COMMENT_LABEL, ENTRY_LABEL, SEVERITY_LABEL, SEVERITY_RANK
 
 
 def reports(rows: DataFrame) -> DataFrame:
@@ -65,3 +65,36 @@ def broken_parts(parts: DataFrame) -> DataFrame:
     found = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("name").alias("kinds"), F.array_distinct(F.array(*[count(m) for m in marks])).alias("counts"))
     whole = (F.col("n") == len(PART_MARKS)) & (F.col("kinds") == len(PART_MARKS)) & (F.size("counts") == 1)
     return found.filter(~F.coalesce(whole, F.lit(False))).select("doc_id")
+
+
+def _one_line(c: Column) -> Column:
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
+def entry_reports(rows: DataFrame) -> DataFrame:
+    """(doc_id, report): a head with the counts of all issues and of each severity, then an entry for each issue, by severity, then position.
+
+    An entry has its number, labels, problem, at most 80 characters of its excerpt if there is one, and at most three suggestions
+    or a general one. Missing problems and unknown severities get the format's defaults; unknown categories are named as they are."""
+    problem = _one_line(F.replace(F.coalesce("problem", F.lit("（未描述）")), F.lit("|"), F.lit("｜")))
+    said = F.when(F.size("suggestion") > 0, _one_line(F.array_join(F.slice("suggestion", 1, 3), "；"))).otherwise("请根据上下文修改")
+    excerpt = _one_line(F.substring(F.coalesce("excerpt", F.lit("")), 1, 80))
+    head = F.concat(mapped(F.col("severity"), ENTRY_LABEL, ENTRY_LABEL["minor"]), F.lit(" 【"), F.coalesce(*[F.when(F.col("category") == k, v) for k, v in CATEGORY_LABEL.items()], F.col("category"), F.lit("unknown")), F.lit("】\n\n"))
+    quoted = F.when(excerpt != "", F.concat(F.lit("**原文**：…"), excerpt, F.lit("…\n\n"))).otherwise("")
+    body = F.concat(head, F.lit("**问题**："), problem, F.lit("\n\n"), quoted, F.lit("**建议**："), said, F.lit("\n\n---\n\n"))
+    ordered = F.sort_array(F.collect_list(F.struct(mapped(F.col("severity"), SEVERITY_RANK, 2).alias("rank"), "seq", body.alias("body"))))
+    counts = [F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITY_RANK]
+    grouped = rows.groupBy("doc_id").agg(ordered.alias("entries"), *counts)
+    number = lambda c: c.cast("string")
+    top = F.concat(F.lit("共 **"), number(F.size("entries")), F.lit("** 项问题：致命 "), number(F.col("n_fatal")), F.lit(" 项 / 严重 "), number(F.col("n_major")), F.lit(" 项 / 轻微 "), number(F.col("n_minor")), F.lit(" 项\n\n"))
+    entries = F.transform("entries", lambda e, i: F.concat(F.lit("### "), number(i + 1), F.lit(". "), e["body"]))
+    return grouped.select("doc_id", F.concat(top, F.array_join(entries, "")).alias("report"))
+
+
+def comment_text(warning: Column) -> Column:
+    """A comment's lines: labels, problem and first suggestion, after the warning if there is one; further suggestions; the id."""
+    label = F.coalesce(*[F.when(F.col("category") == k, v) for k, v in COMMENT_LABEL.items()], F.col("category"), F.lit(""))
+    first = F.concat(F.lit("【"), label, F.lit("】【"), F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in SEVERITY_LABEL.items()], F.col("severity"), F.lit("")), F.lit("】"), F.coalesce("problem", F.lit("")), F.lit(" → "), F.coalesce(F.get("suggestion", F.lit(0)), F.lit("")))
+    more = F.when(F.size("suggestion") > 1, F.concat(F.array(F.lit("其他建议：")), F.transform(F.slice("suggestion", 2, F.greatest(F.size("suggestion"), F.lit(1))), lambda s: F.concat(F.lit("  · "), s)))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.concat(F.coalesce(F.concat(warning, F.lit(": ")), F.lit("")), first)), more, F.array(F.concat(F.lit("[id: "), F.coalesce("id", F.lit("")), F.lit("]"))))
+    return F.array_join(lines, "\n")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from redpen.functions import spans as M
 from redpen.operators import asof, intervals, near
+from redpen.operators import crossref as C
 from redpen.operators import locate as L
 from redpen.operators import redact as X
+from redpen.operators import report as P
 from redpen.operators.crossref import AUTHOR
-from redpen.plans.registry import _HITS, ALL, PARAS, _issues, query
+from redpen.plans.registry import _HITS, ALL, PARAS, RANK, _issues, query
+from redpen.schema import CATEGORY_LABEL, COMMENT_LABEL, ENTRY_LABEL
 from redpen.sources import store
 from redpen.sources.tables import paragraphs, table, with_offsets
 
@@ -210,3 +213,66 @@ def mounted_issues(spark: SparkSession, d: str) -> DataFrame:
     places = L.mounted(issues, paras, cells).join(issues.select("doc_id", "seq", "anchor_text", "char_offset", "sentence_index"), ["doc_id", "seq"]).join(paras.withColumnRenamed("para_idx", "place"), ["doc_id", "place"])
     span = L.offset_span(F.col("text"), F.col("char_offset"), F.col("anchor_text"), F.col("sentence_index"))
     return places.withColumn("span", span).select("doc_id", "seq", "place", "how", "warning", "span.*")
+
+
+# Citations against references, by key and by number
+
+_YEAR = "nullif(regexp_extract(context, '(19|20)[0-9]{2}', 0), '')"
+_CITES = f"""named AS (SELECT doc_id, nr, hit AS author, {_CONTEXT} AS context FROM ({_spans_sql("name")}) JOIN documents USING (doc_id)),
+keyed AS (SELECT doc_id, nr, author, {_YEAR} AS year, lower(regexp_replace(author, '[\\s.,;:''"\\[\\]()]', '', 'g')) AS form, coalesce({_YEAR}, '') AS y FROM named),
+cited AS (SELECT * FROM keyed WHERE doc_id % 2 = 0), refs AS (SELECT * FROM keyed WHERE doc_id % 2 = 1),
+numbers AS (SELECT DISTINCT CAST(hit AS BIGINT) - 10 AS nr FROM ({_spans_sql("number")}) WHERE doc_id % 2 = 0),
+unnumbered AS (SELECT * FROM refs WHERE nr NOT IN (SELECT nr FROM numbers))"""
+
+
+@query(
+    f"""WITH {_CITES} SELECT doc_id, nr, author, year, 'footnote_missing_reference' AS kind, 'major' AS severity FROM cited WHERE (form, y) NOT IN (SELECT (form, y) FROM refs)
+  UNION ALL SELECT doc_id, nr, author, year, 'citation_format_inconsistent', 'major' FROM unnumbered WHERE (form, y) IN (SELECT (form, y) FROM cited)
+  UNION ALL SELECT doc_id, nr, author, year, 'reference_not_cited', 'minor' FROM unnumbered WHERE (form, y) NOT IN (SELECT (form, y) FROM cited)"""
+)
+def citation_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Names with a year near them: citations (documents of even number) against references (odd), and references against the numbers that the former hold."""
+    year = F.nullif(F.regexp_extract("context", "(19|20)[0-9]{2}", 0), F.lit(""))
+    named = _matches(spark, d, "name").select("doc_id", "nr", F.col("hit").alias("author"), year.alias("year"))
+    even = F.col("doc_id") % 2 == 0
+    numbers = _matches(spark, d, "number").filter(even).select((F.col("hit").cast("long") - 10).alias("nr"))
+    return C.citation_gaps(named.filter(even), named.filter(~even), numbers)
+
+
+# Reports and comments with suggestions
+
+
+def _suggested(spark: SparkSession, d: str) -> DataFrame:
+    given = F.slice(F.array("problem", "anchor_text", "excerpt"), F.lit(1), (F.col("seq") % 4).cast("int"))
+    return _issues(spark, d).withColumn("suggestion", given)
+
+
+_LABELS = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_LABEL.items()) + " ELSE category END"
+_COMMENTED = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COMMENT_LABEL.items()) + " ELSE category END"
+_SEVERITIES = "CASE severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENTRY_LABEL.items()) + " END"
+_GIVEN = "[problem, anchor_text, excerpt][1:CAST(seq % 4 AS INTEGER)]"
+
+
+@query(
+    ALL
+    + f""", s AS (SELECT *, {_GIVEN} AS given, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, seq) AS nr FROM grouped)
+SELECT doc_id, md5('共 **' || count(*) || '** 项问题：致命 ' || count(*) FILTER (severity = 'fatal') || ' 项 / 严重 ' || count(*) FILTER (severity = 'major') || ' 项 / 轻微 ' || count(*) FILTER (severity = 'minor') || ' 项' || chr(10) || chr(10)
+  || string_agg('### ' || nr || '. ' || {_SEVERITIES} || ' 【' || {_LABELS} || '】' || chr(10) || chr(10) || '**问题**：' || replace(replace(problem, '|', '｜'), chr(10), ' ') || chr(10) || chr(10)
+    || CASE WHEN excerpt <> '' THEN '**原文**：…' || replace(left(excerpt, 80), chr(10), ' ') || '…' || chr(10) || chr(10) ELSE '' END
+    || '**建议**：' || CASE WHEN len(given) > 0 THEN replace(array_to_string(given, '；'), chr(10), ' ') ELSE '请根据上下文修改' END || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY nr)) AS report_md5 FROM s GROUP BY doc_id"""
+)
+def entry_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports with counts at their head and suggestions in their entries."""
+    return P.entry_reports(_suggested(spark, d)).select("doc_id", F.md5("report").alias("report_md5"))
+
+
+@query(
+    ALL
+    + f""", s AS (SELECT *, {_GIVEN} AS given FROM grouped)
+SELECT doc_id, seq, CASE WHEN seq % 5 = 0 THEN '{L.TO_CHAPTER}: ' ELSE '' END || '【' || {_COMMENTED} || '】【' || CASE severity WHEN 'fatal' THEN '致命' WHEN 'major' THEN '重要' ELSE '轻微' END || '】' || problem || ' → ' || coalesce(given[1], '')
+  || CASE WHEN len(given) > 1 THEN chr(10) || '其他建议：' || array_to_string(list_transform(given[2:], lambda g: chr(10) || '  · ' || g), '') ELSE '' END || chr(10) || '[id: ' || id || ']' AS body FROM s"""
+)
+def suggested_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments with all suggestions; every fifth carries the warning of a place that wasn't found."""
+    warning = F.when(F.col("seq") % 5 == 0, L.TO_CHAPTER)
+    return _suggested(spark, d).select("doc_id", "seq", P.comment_text(warning).alias("body"))

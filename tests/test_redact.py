@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from redpen.operators import locate, rank, redact
+from redpen.operators import crossref, locate, rank, redact, report
 from redpen.plans.joins import PERSONAL
 from redpen.plans.registry import QUERIES
 from redpen.sources.tables import paragraphs, table
@@ -72,6 +72,30 @@ def test_every_arm_of_the_cascade(spark):
     }
 
 
+def test_entries_and_comments(spark):
+    rows = [(1, 1, "x-1", "language", "minor", "p|q\nr", "", ["a", "b", "c", "d"]), (1, 2, "x-2", "odd", "fatal", None, "e" * 90, []), (2, 1, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, seq long, id string, category string, severity string, problem string, excerpt string, suggestion array<string>")
+    got = {r["doc_id"]: r["report"] for r in report.entry_reports(df).collect()}
+    assert got[1] == (
+        "共 **2** 项问题：致命 1 项 / 严重 0 项 / 轻微 1 项\n\n### 1. ❌ 致命 【odd】\n\n**问题**：（未描述）\n\n**原文**：…" + "e" * 80 + "…\n\n**建议**：请根据上下文修改\n\n---\n\n"
+        "### 2. 💡 轻微 【语言表达】\n\n**问题**：p｜q r\n\n**建议**：a；b；c\n\n---\n\n"
+    )
+    assert "【unknown】" in got[2]
+    said = [r["t"] for r in df.orderBy("doc_id", "seq").select(report.comment_text(F.when(F.col("seq") == 1, "!")).alias("t")).collect()]
+    assert said[0] == "!: 【语言】【轻微】p|q\nr → a\n其他建议：\n  · b\n  · c\n  · d\n[id: x-1]" and said[1] == "【odd】【致命】 → \n[id: x-2]" and said[2] == "!: 【】【】 → \n[id: ]"
+
+
+def test_citations_against_references(spark):
+    schema = "doc_id long, nr long, author string, year string"
+    cited = spark.createDataFrame([(2, 0, "Ada Cole", "1999"), (2, 1, "Bob Hill", None), (4, 0, "Max Ray", "2001"), (4, 1, "Max Ray", "2001")], schema)
+    refs = spark.createDataFrame([(1, 1, "ada  cole.", "1999"), (1, 2, "Bob Hill", "1990"), (3, 7, "BOB HILL", None), (3, 8, "Eve Dunn", "2000")], schema)
+    got = {(r["doc_id"], r["nr"], r["kind"], r["severity"]) for r in crossref.citation_gaps(cited, refs, spark.createDataFrame([(1,), (1,), (None,)], "nr long")).collect()}
+    assert got == {
+        (4, 0, "footnote_missing_reference", "major"), (4, 1, "footnote_missing_reference", "major"), (1, 2, "reference_not_cited", "minor"),
+        (3, 7, "citation_format_inconsistent", "major"), (3, 8, "reference_not_cited", "minor"),
+    }
+
+
 def test_few_candidates_for_each_needle(spark):
     """The rarest gram of a needle leaves under twenty paragraphs for each on average, of 95,000."""
     d = "/root/testdata/sf0.1"
