@@ -5,9 +5,13 @@ Problems and texts meet by doc_id; what follows is columns of one row, so no can
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redpen.functions.spans import let
+
 #: Fixed values of the method: characters of an anchor, keywords tried, characters around a keyword, head that the last level reads.
 LONGEST, KEYWORDS, AROUND, HEAD = 60, 10, 20, 200
 #: Signs that the second comparison leaves out.
@@ -32,40 +36,44 @@ def _first(found: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1))
 
 
+def _first_of(values: Column, body: Callable[[Column], Column]) -> Column:
+    """The first body of an element that isn't null; later elements aren't computed."""
+    return F.aggregate(values, F.lit(None).cast("string"), lambda found, v: F.coalesce(found, body(v)))
+
+
 def _by_quote(problem: Column, body: Column, bare_body: Column) -> Column:
     """The first quotation that stands in the body as it is or without signs; in the second case the body's characters about there."""
 
-    def place(q: Column) -> Column:
-        at = F.instr(bare_body, _bare(q))
+    def near(bare: Column) -> Column:
+        at = F.instr(bare_body, bare)
         start = F.greatest(at - 6, F.lit(0))
-        size = F.least(at - 1 + F.length(_bare(q)) + 5 - start, F.lit(LONGEST))
-        return F.when(F.contains(body, q), F.substring(q, 1, LONGEST)).when(at > 0, F.substring(body, start + 1, size))
+        return F.when(at > 0, F.substring(body, start + 1, F.least(at - 1 + F.length(bare) + 5 - start, F.lit(LONGEST))))
 
+    place = lambda q: F.when(F.contains(body, q), F.substring(q, 1, LONGEST)).otherwise(let(_bare(q), near))
     quotes = F.filter(F.regexp_extract_all(problem, F.lit(QUOTED), F.lit(1)), lambda q: _bare(q) != "")
-    return _first(F.transform(quotes, lambda q: place(F.trim(q))))
+    return _first_of(F.transform(quotes, lambda q: F.trim(q)), place)
 
 
 def keywords(problem: Column) -> Column:
     """At most ten different words by occurrences times length, then length, then first appearance; words of one letter only are left out."""
     said = F.filter(F.regexp_extract_all(problem, F.lit(WORD), F.lit(0)), lambda w: F.size(F.array_distinct(F.split(w, ""))) >= 2)
-    scored = F.transform(
-        F.array_distinct(said), lambda w, k: F.struct((-F.size(F.filter(said, lambda x: x == w)) * F.length(w)).alias("score"), (-F.length(w)).alias("size"), k.alias("k"), w.alias("word"))
+    scored = lambda words: F.transform(
+        F.array_distinct(words), lambda w, k: F.struct((-F.size(F.filter(words, lambda x: x == w)) * F.length(w)).alias("score"), (-F.length(w)).alias("size"), k.alias("k"), w.alias("word"))
     )
-    return F.transform(F.slice(F.array_sort(scored), 1, KEYWORDS), lambda s: s["word"])
+    return F.transform(F.slice(F.array_sort(let(said, scored)), 1, KEYWORDS), lambda s: s["word"])
 
 
 def _by_keyword(problem: Column, body: Column) -> Column:
     """Around the first place of the first keyword that has any: the piece with most characters, then with the keyword, then the first."""
 
-    def piece(w: Column) -> Column:
-        at = F.instr(body, w)
+    def around(w: Column, at: Column) -> Column:
         start = F.greatest(at - 1 - AROUND, F.lit(0))
         window = F.substring(body, start + 1, at - 1 + F.length(w) + AROUND - start)
         pieces = F.regexp_extract_all(window, F.lit(WINDOW_PIECE), F.lit(0))
         ranked = F.transform(pieces, lambda p, k: F.struct(F.length(F.regexp_replace(p, r"\s", "")).alias("n"), F.contains(p, w).alias("has"), (-k).alias("k"), p.alias("piece")))
         return F.when(at > 0, F.nullif(F.trim(F.array_max(ranked)["piece"]), F.lit("")))
 
-    return _first(F.transform(keywords(problem), piece))
+    return _first_of(keywords(problem), lambda w: let(F.instr(body, w), lambda at: around(w, at)))
 
 
 def _longest_in_head(body: Column) -> Column:
@@ -81,10 +89,11 @@ def found_anchors(problems: DataFrame, bodies: DataFrame) -> DataFrame:
     bodies: (doc_id, body), one row each; level 3 and the text without signs are made once for each document, before the join."""
     texts = bodies.select("doc_id", "body", _bare(F.col("body")).alias("bare"), _longest_in_head(F.col("body")).alias("head_piece"))
     problem, body = F.col("problem"), F.col("body")
-    levels = F.array(_by_quote(problem, body, F.col("bare")), _by_keyword(problem, body), F.col("head_piece"), F.substring(F.trim(F.coalesce(problem, F.lit(""))), 1, 40))
-    met = problems.join(texts, "doc_id", "left").withColumn("found", levels)
-    ranked = F.transform("found", lambda a, k: F.when(a.isNotNull(), F.struct((k + 1).alias("level"), a.alias("anchor"))))
-    return met.withColumn("best", _first(ranked)).select(*problems.columns, "best.*")
+    levels = (_by_quote(problem, body, F.col("bare")), _by_keyword(problem, body), F.col("head_piece"), F.substring(F.trim(F.coalesce(problem, F.lit(""))), 1, 40))
+    # one level after another: a later one is computed only where the earlier ones give nothing
+    marked = lambda k: lambda x: F.when(x.isNotNull(), F.struct(F.lit(k).alias("level"), x.alias("anchor")))
+    best = F.coalesce(*[let(a, marked(k)) for k, a in enumerate(levels, 1)])
+    return problems.join(texts, "doc_id", "left").withColumn("best", best).select(*problems.columns, "best.*")
 
 
 def spellings(anchor: Column) -> Column:
