@@ -93,7 +93,8 @@ def candidates(distinct: DataFrame) -> DataFrame:
     flips = F.array(*[F.array(*[F.lit(_signed(x)) for x in own]) for own in budget])
     left = shared.select(F.col("fp").alias("a"), "i", F.col("fp").bitwiseAND(four[F.col("i")]).alias("key"))
     right = shared.select(F.col("fp").alias("b"), "i", F.explode(flips[F.col("i")]).alias("flip")).select("b", "i", F.col("b").bitwiseXOR(F.col("flip")).bitwiseAND(four[F.col("i")]).alias("key"))
-    return left.join(right, ["i", "key"]).filter(F.col("a") < F.col("b")).select("a", "b")
+    # both sides grow with the fingerprints; the small files of the written table must not pass for a small side
+    return left.join(right.hint("merge"), ["i", "key"]).filter(F.col("a") < F.col("b")).select("a", "b")
 
 
 def links(distinct: DataFrame) -> DataFrame:
