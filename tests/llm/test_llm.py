@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from redpen.llm import bpe, bwt, chat, components, decontaminate, html, licenses, quality, simhash, suffixes, textvec, toxicity, warc
+from redpen.llm import base, bpe, bwt, chat, components, decontaminate, html, licenses, quality, simhash, suffixes, textvec, toxicity, warc
 from redpen.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -529,3 +529,17 @@ def test_pipeline_stages_on_odd_rows(spark, data):
     assert p.bpe_encoding(spark, docs, data).count() == len(rows)
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), data).count() == 0
+
+
+def test_the_whole_pipeline(spark):
+    """run() gives what its stages give one after another: every row once, nothing that an earlier stage left out."""
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.001"
+    docs, left = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for _, stage in p.STAGES:
+        docs = base.written(stage(spark, docs, folder), "stage")
+        left.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    rows = [tuple(r[c] for c in sorted(docs.columns)) for r in p.run(spark, folder).collect()]
+    assert sorted(rows) == sorted(tuple(r[c] for c in sorted(docs.columns)) for r in docs.collect())
+    assert all(a >= b for a, b in zip(left, left[1:], strict=False)) and len(rows) == len(left[-1]) > 50
