@@ -5,6 +5,7 @@ trusted texts already hold most of the former, in every language. Two multinomia
 estimated with add-one smoothing: one from two thirds of the trusted texts, one from every text of the
 corpus. A text's score is the mean log ratio of its n-grams. The other third of the trusted texts, which
 the fit hasn't seen, sets the threshold: MARGIN below the score that all but LEAST_SHARE of them reach.
+Every trusted text is in one of the two parts, however many there are.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from redpen.llm.base import pieces, small_batches, written
 from redpen.llm.textvec import U64, Prefix, Words, mix, per_doc, repeated
 
 BUCKETS = 1 << 14
-#: Bound on the labelled rows that the target multinomial is fitted on (the corpus side covers all rows).
-MAX_TRUSTED = 20_000
 GRAM = 4
 #: Share of the left-out trusted texts that may score lower than what the margin is taken from.
 LEAST_SHARE, MARGIN = 0.01, 0.1
@@ -48,34 +47,43 @@ def _buckets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (mix(value[at]) % U64(n)).astype(np.int64), doc
 
 
-def trusted_sample(labels: DataFrame, bound: int = MAX_TRUSTED) -> DataFrame:
-    """(doc_id, left_out): distinct doc_id with quality 1, at most `bound` of them, chosen by hash order (the same rows each time); a third is left out of the fit."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, left_out): every doc_id with quality 1, once; a third, by hash, is left out of the fit and sets the threshold."""
     ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0)
+    return ids.withColumn("left_out", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, bound: int = MAX_TRUSTED) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket, the target from the trusted texts that aren't left out.
+#: The name that tests know it by.
+trusted_sample = trusted_ids
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, left_out) of every row of docs with a trusted doc_id, as a table. The ids grow with the labels, so they are never broadcast."""
+    return written(docs.select("doc_id", "text").join(trusted_ids(labels).hint("shuffle_hash"), "doc_id"), "trusted", "zstd")
+
+
+def log_ratios(docs: DataFrame, fitted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket: the target from the texts of fitted, the rest from those of docs.
 
     Every task sends one row for each bucket it met; what reaches the driver is one row for each bucket.
-    `trusted` has at most `bound` rows, so it is broadcast. Without trusted texts all ratios are 0.
+    Without trusted texts all ratios are 0.
     """
     small_batches(docs.sparkSession)
-    fitted = trusted.limit(bound).filter("not left_out").select("doc_id", F.lit(True).alias("trusted"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(fitted), "doc_id", "left")
+    texts = docs.select("text", F.lit(False).alias("trusted")).union(fitted.select("text", F.lit(True).alias("trusted")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            good = np.array([bool(x) for x in batch.column("trusted").to_pylist()], bool)
-            for at, texts in pieces(batch, "text"):
-                b, doc = _buckets(Words(texts), buckets)
-                raw += np.bincount(b, minlength=buckets)
-                target += np.bincount(b[good[at : at + len(texts)][doc]], minlength=buckets)
-        met = np.flatnonzero(raw)
+            good = np.array(batch.column("trusted").to_pylist(), bool)
+            for at, part in pieces(batch, "text"):
+                b, doc = _buckets(Words(part), buckets)
+                of = good[at : at + len(part)][doc]
+                raw += np.bincount(b[~of], minlength=buckets)
+                target += np.bincount(b[of], minlength=buckets)
+        met = np.flatnonzero(raw + target)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
 
-    counts = marked.select("trusted", "text").mapInArrow(count, "bucket long, raw long, target long")
+    counts = texts.mapInArrow(count, "bucket long, raw long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(buckets), np.ones(buckets)
     for r in rows:
@@ -86,12 +94,24 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, boun
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def calibrated(docs: DataFrame, trusted: DataFrame, ratios: np.ndarray, bound: int = MAX_TRUSTED) -> float:
-    """The threshold, from the scores of the trusted texts that were left out of the fit (the least score of a repeated doc_id)."""
-    left = trusted.limit(bound).filter("left_out").select("doc_id")
-    scores = measure(docs.select("doc_id", "text").join(F.broadcast(left), "doc_id"), ratios).filter("not base_failed")
-    found = np.sort([r["llr"] for r in scores.groupBy("doc_id").agg(F.min("llr").alias("llr")).collect()])
-    return float(found[int(LEAST_SHARE * len(found))]) - MARGIN if len(found) >= CALIBRATED else THRESHOLD
+def calibrated(left_out: DataFrame, ratios: np.ndarray) -> float:
+    """The threshold, from the scores of all texts of left_out (the least score of a repeated doc_id).
+
+    The scores are sorted by Spark; only the number of rows of each sorted part and the score at the rank reach the driver.
+    """
+    scores = measure(left_out, ratios).filter("not base_failed").groupBy("doc_id").agg(F.min("llr").alias("llr"))
+    # a row's place: its part in the upper bits, its number in the part in the lower 33; copies have equal scores, which doc_id deals out
+    ranked = written(scores.orderBy("llr", "doc_id").select("llr", F.monotonically_increasing_id().alias("place")), "scores")
+    parts = sorted(ranked.groupBy(F.shiftright("place", 33)).count().collect())
+    n = sum(rows for _, rows in parts)
+    if n < CALIBRATED:
+        return THRESHOLD
+    rank = int(LEAST_SHARE * n)
+    for part, rows in parts:
+        if rank < rows:
+            break
+        rank -= rows
+    return ranked.filter(F.col("place") == (part << 33) + rank).first()["llr"] - MARGIN
 
 
 def measure(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -155,6 +175,6 @@ def _measured(texts: list[bytes], ratios: np.ndarray, n: int) -> list[np.ndarray
 
 def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
     """The operator: fit both multinomials, set the threshold, then measure and decide every row of docs."""
-    trusted = written(trusted_sample(labels), "trusted")
-    ratios = log_ratios(docs, trusted, buckets)
-    return measure(docs, ratios, calibrated(docs, trusted, ratios), carry)
+    trusted = trusted_texts(docs, labels)
+    ratios = log_ratios(docs, trusted.filter("not left_out"), buckets)
+    return measure(docs, ratios, calibrated(trusted.filter("left_out"), ratios), carry)

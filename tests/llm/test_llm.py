@@ -257,6 +257,36 @@ def test_quality_verdict_against_brute_force(spark):
         assert abs(got[i]["llr"] - x) < 1e-9 and got[i]["kept"] == (x >= threshold and not got[i]["base_failed"])
 
 
+def test_quality_takes_every_trusted_text(spark):
+    """The fit and the threshold are those of all labelled texts, of which there are more than 20,000 here."""
+    n, rnd = 21_500, random.Random(3)
+    words = [a + b + c for a in "abcd" for b in "abcd" for c in "xyz"]
+    texts = [" ".join(rnd.choices(words, k=50)) for _ in range(n)] + ["zz yy " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    left = {r[0] for r in labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).select("doc_id").collect()}
+    counts = [collections.Counter(t[k : k + 4] for k in range(len(t) - 3)) for t in texts]
+    every = list(set().union(*counts))
+    values = np.array([int.from_bytes(g.encode(), "big") for g in every], np.uint64)
+    bucket = dict(zip(every, (textvec.mix(values) % np.uint64(quality.BUCKETS)).tolist(), strict=True))
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, c in enumerate(counts):
+        for g, k in c.items():
+            raw[bucket[g]] += k
+            if i < n and i not in left:
+                target[bucket[g]] += k
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    for i, c in enumerate(counts):
+        assert abs(got[i]["llr"] - sum(ratio[bucket[g]] * k for g, k in c.items()) / sum(c.values())) < 1e-9
+    scores = sorted(got[i]["llr"] for i in left if not got[i]["base_failed"])
+    want = scores[int(quality.LEAST_SHARE * len(scores))] - quality.MARGIN if len(scores) >= quality.CALIBRATED else quality.THRESHOLD
+    known = quality.trusted_texts(docs, labels)
+    assert known.count() == n and quality.calibrated(known.filter("left_out"), ratio) == pytest.approx(want, abs=1e-9)
+    assert len(scores) > 6_000
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= want) or abs(r["llr"] - want) < 1e-9 for r in got.values())
+
+
 # Toxicity
 
 
