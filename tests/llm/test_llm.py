@@ -287,6 +287,22 @@ def test_quality_takes_every_trusted_text(spark):
     assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= want) or abs(r["llr"] - want) < 1e-9 for r in got.values())
 
 
+def test_pipeline_keeps_what_late_labels_trust(spark, tmp_path):
+    """Texts of a kind that only labels beyond the first 20,000 (by hash) trust are kept: the pipeline's fit covers them."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(4)
+    words = {late: [a + b + c for a in letters for b in letters for c in "xyz"] for late, letters in ((False, "abcd"), (True, "klmn"))}
+    ids = [r[0] for r in spark.range(21_500).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, " ".join(rnd.choices(words[k >= 20_000], k=50)), "en", "s", 0) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    spark.range(21_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    late, measured = set(ids[20_000:]), quality.measure(docs, np.zeros(16))
+    want = {r[0] for r in measured.filter("not base_failed").select("doc_id").collect()} & late
+    got = {r[0] for r in p.quality_rules(spark, docs, str(tmp_path)).select("doc_id").collect()} & late
+    assert len(want) > 1_000 and len(got) >= 0.98 * len(want)
+
+
 # Toxicity
 
 
