@@ -35,7 +35,7 @@ SELECT key, run_id, started_ms, CASE WHEN kind IN ('finished', 'cancelled') THEN
 def run_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Runs of each user, from a replay of the events: how each ended, timeouts by timers, its steps and whether they went over the cap."""
     folder, delay = S.replayed(_events(spark, d), "ts", LIMIT_MS)
-    stream = S.source(spark, folder, _events(spark, d).schema)
+    stream = S.replay(spark, folder, _events(spark, d).schema)
     log = store.BatchLog(spark, store.new_path(spark, "runs"), S.RUN)
     store.drained(S.runs_of(stream, delay, LIMIT_MS, STEPS), log, store.new_path(spark, "checkpoint"))
     return log.read().drop("batch")

@@ -7,18 +7,22 @@ a last row far ahead, which moves the watermark past everything: the stream then
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
-from redpen.sources.store import new_path
+from redpen.sources.store import names, new_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event kinds that end a run, and what it is called then.
 ENDS = {"finished": "finished", "cancelled": "cancelled"}
+#: Buckets of the runs' keys. They are the keys of the state, so a stream that is resumed has to have as many.
+BUCKETS = 512
 RUN = "key long, run_id long, started_ms long, ended_ms long, n_events long, status string, steps string, over_cap boolean"
 MESSAGE = "thread_id long, message_id string, position long, seq long, role string, content string"
 
@@ -27,72 +31,51 @@ def _table(rows: list[tuple], columns: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in columns.split(",")])
 
 
-class Runs(StatefulProcessor):
+class Runs:
     """Runs of a key: one begins with an event while none is open; an end event or the time limit closes it.
 
-    Events wait in a list until the watermark passes them, then they are taken in order of time. A timer stands at the
-    earliest waiting event and at the open run's limit; a run without a further event is closed by the latter."""
+    Keys are dealt into buckets, whose rows and state travel in Arrow batches; a call has a cost of its own that many keys share. Events
+    wait in the state until the watermark passes them, then they are taken in order of time. The bucket's one timeout stands at the
+    earliest waiting event or open run's limit; a run without a further event is closed by the latter."""
+
+    STATE = "open array<long>, run_id array<long>, started_ms array<long>, steps array<array<string>>, key array<long>, ms array<long>, event_id array<long>, kind array<string>"
 
     def __init__(self, limit_ms: int, steps: int):
         self.limit_ms, self.cap = limit_ms, steps
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, event_id long, kind string")
-        self.open = handle.getValueState("open", "run_id long, started_ms long")
-        self.steps = handle.getListState("steps", "kind string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
+    def __call__(self, bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        came = [r for p in rows for r in zip(*(p[c].tolist() for c in ("key", "ms", "event_id", "kind")), strict=True)]
+        if pd.isna(bucket[0]):
             return
-        came = [(int(m), int(i), k) for p in rows for m, i, k in zip(p["ms"], p["event_id"], p["kind"], strict=True)]
-        self.waiting.appendList(came)
-        self.handle.registerTimer(min(came)[0])
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(tuple(r) for r in self.waiting.get())
-        due, later = [r for r in waiting if r[0] <= now], [r for r in waiting if r[0] > now]
-        run = tuple(self.open.get()) if self.open.exists() else None
-        steps = [r[0] for r in self.steps.get()] if run else []
-        closed: list[tuple] = []
-
-        def close(ended_ms: int, status: str) -> None:
-            closed.append((int(key[0]), run[0], run[1], ended_ms, len(steps), status, ">".join(steps), len(steps) > self.cap))
-
-        for ms, event_id, kind in due:
-            if run and ms > run[1] + self.limit_ms:
-                close(run[1] + self.limit_ms, "timeout")
-                run = None
-            if not run:
-                run, steps = (event_id, ms), []
-            steps.append(kind)
+        now, limit, runs, closed = state.getCurrentWatermarkMs(), self.limit_ms, {}, []
+        if state.exists:
+            open_keys, run_ids, starts, steps, *old = state.get
+            runs = {k: (i, s, list(kinds)) for k, i, s, kinds in zip(open_keys, run_ids, starts, steps, strict=True)}
+            came += zip(*old, strict=True)
+
+        def close(key: int, ended_ms: int, status: str) -> None:
+            run_id, started_ms, steps = runs.pop(key)
+            kinds = [k for k in steps if k is not None]
+            closed.append((key, run_id, started_ms, ended_ms, len(steps), status, ">".join(kinds) if kinds else None, len(steps) > self.cap))
+
+        for key, ms, event_id, kind in sorted((r for r in came if r[1] <= now), key=lambda r: (r[1], r[2], r[3] or "")):
+            if key in runs and ms > runs[key][1] + limit:
+                close(key, runs[key][1] + limit, "timeout")
+            runs.setdefault(key, (event_id, ms, []))[2].append(kind)
             if kind in ENDS:
-                close(ms, ENDS[kind])
-                run = None
-        if run and run[1] + self.limit_ms <= now:
-            close(run[1] + self.limit_ms, "timeout")
-            run = None
-        if due or closed:
-            self.waiting.clear()
-            if later:
-                self.waiting.put(later)
-            self.open.clear()
-            self.steps.clear()
-            if run:
-                self.open.update(run)
-                self.steps.put([(s,) for s in steps])
-        if later:
-            self.handle.registerTimer(later[0][0])
-        if run:
-            self.handle.registerTimer(run[1] + self.limit_ms)
+                close(key, ms, ENDS[kind])
+        for key, ended_ms in [(k, r[1] + limit) for k, r in runs.items() if r[1] + limit <= now]:
+            close(key, ended_ms, "timeout")
+        later = [r for r in came if r[1] > now]
+        if runs or later:
+            state.update((list(runs), *([r[c] for r in runs.values()] for c in range(3)), *([r[c] for r in later] for c in range(4))))
+            # a timeout passes when the watermark is beyond it
+            state.setTimeoutTimestamp(max(min([r[1] for r in later] + [r[1] + limit for r in runs.values()]), now, 1))
+        elif state.exists:
+            state.remove()
         if closed:
             yield _table(closed, RUN)
 
-    def close(self) -> None:
-        pass
-
 
 class Threads(StatefulProcessor):
     """Messages of a thread by id: the last one (by seq) counts, at the place of the first. A message that isn't written for ttl_ms is forgotten."""
@@ -142,6 +125,13 @@ def replayed(rows: DataFrame, ts: str, after_ms: int = 0, slices: int = 4, closi
     return folder, width
 
 
+def replay(spark: SparkSession, folder: str, schema, batches: int = 5) -> DataFrame:
+    """The stream of a replayed folder in about so many batches, two files each at least. Every batch goes through the keys' state, so
+    their number must not grow with the table."""
+    files = sum(n.startswith("part-") for n in names(spark, folder))
+    return source(spark, folder, schema, max(2, -(-files // batches)))
+
+
 def source(spark: SparkSession, folder: str, schema, files_at_once: int = 2) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
@@ -149,8 +139,9 @@ def source(spark: SparkSession, folder: str, schema, files_at_once: int = 2) ->
 def runs_of(events: DataFrame, delay_ms: int, limit_ms: int = 900_000, steps: int = 100) -> DataFrame:
     """Closed runs of a stream (key, event_id, ts, kind), each once. Rows without a key only move the watermark."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = events.withWatermark("ts", f"{delay_ms} milliseconds").withColumn("ms", F.unix_millis("ts"))
-    return timed.groupBy("key").transformWithStateInPandas(Runs(limit_ms, steps), RUN, "Append", "EventTime")
+    bucket = F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    timed = events.withWatermark("ts", f"{delay_ms} milliseconds").withColumns({"ms": F.unix_millis("ts"), "bucket": bucket})
+    return timed.groupBy("bucket").applyInPandasWithState(Runs(limit_ms, steps), RUN, Runs.STATE, "append", "EventTimeTimeout")
 
 
 def threads_of(messages: DataFrame, ttl_ms: int = 7 * 86_400_000) -> DataFrame:

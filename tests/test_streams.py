@@ -1,9 +1,11 @@
 """Keyed state, stream joins, the log and publishing: restarts, late rows, timers, damage."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from redpen.operators import report as P
+from redpen.plans import registry, streams
 from redpen.sources import store
 from redpen.streaming import state as S
 
@@ -49,6 +51,37 @@ def test_runs_end_by_event_or_timer_and_resume(few, tmp_path):
     }
 
 
+def _in_many_files(spark, data, tmp_path, change, monkeypatch):
+    """The given tables with events and orders in 24 files, each read as a partition of its own, and the list that takes the numbers of the batches written."""
+    conf, batches, wrote = spark.conf, [], store.BatchLog.__call__
+    for name, df in change.items():
+        df.repartition(24).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = conf.get("spark.sql.files.maxPartitionBytes")
+    conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    monkeypatch.setattr(store.BatchLog, "__call__", lambda self, rows, batch: (batches.append(batch), wrote(self, rows, batch))[1])
+    con = duckdb.connect()
+    for name in change:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    return con, batches, lambda: conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _same(query, spark, con, folder, name):
+    got = query(spark, str(folder))
+    return sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.SQL[name]})").fetchall()))
+
+
+def test_replayed_runs_take_few_batches_whatever_the_files(few, data, tmp_path, monkeypatch):
+    """Every batch goes through the keys' state, so the number of batches must not grow with the table's files; events without a kind are steps without a name."""
+    spark = few
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("event_type", F.when(F.col("event_id") % 50 != 0, F.col("event_type")))
+    con, batches, restore = _in_many_files(spark, data, tmp_path, {"events": events}, monkeypatch)
+    try:
+        assert _same(streams.run_sessions, spark, con, tmp_path, "run_sessions")
+    finally:
+        restore()
+    assert len(set(batches)) < 15
+
+
 def test_messages_are_replaced_across_batches(few, tmp_path):
     spark, schema = few, "thread_id long, message_id string, seq long, role string, content string"
     log = store.BatchLog(spark, str(tmp_path / "log"), S.MESSAGE, "parquet")
