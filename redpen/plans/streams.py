@@ -60,13 +60,13 @@ _ASKED = "TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000)"
   FROM orders LEFT JOIN events ON event_id = o_orderkey AND ts <= {_ASKED} AND ts >= {_ASKED} - INTERVAL 7 DAY"""
 )
 def cancel_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Cancel requests (order keys, at times derived from them) joined as a stream to the stream of runs (events): each is answered once, when no run can turn up any more."""
+    """Cancel requests (order keys, at times derived from them) answered as a stream by the stream of runs (events): each is answered once, when no run can turn up any more."""
     asked = F.timestamp_millis(F.lit(1_704_067_200_000) + (F.col("o_orderkey") * 7919 % 2_592_000) * 1000)
     requests = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("run_id"), asked.alias("asked_at"))
     runs = _events(spark, d).select(F.col("event_id").alias("run_id"), "ts", F.col("kind").alias("status"))
     (left, left_delay), (right, right_delay) = (S.replayed(r, t, 8 * 86_400_000, closing={"run_id": k}) for r, t, k in ((requests, "asked_at", -1), (runs, "ts", -2)))
-    answers = S.cancel_answers(S.source(spark, left, requests.schema), S.source(spark, right, runs.schema), left_delay, right_delay)
-    log = store.BatchLog(spark, store.new_path(spark, "answers"), "request_id long, run_id long, answer string", "parquet")
+    answers = S.cancel_answers(S.replay(spark, left, requests.schema), S.replay(spark, right, runs.schema), left_delay, right_delay)
+    log = store.BatchLog(spark, store.new_path(spark, "answers"), S.ANSWER, "parquet")
     store.drained(answers, log, store.new_path(spark, "checkpoint"))
     return log.read().drop("batch")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,11 @@ from redpen.sources.store import names, new_path
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event kinds that end a run, and what it is called then.
 ENDS = {"finished": "finished", "cancelled": "cancelled"}
-#: Buckets of the runs' keys. They are the keys of the state, so a stream that is resumed has to have as many.
+#: Buckets of the keys of runs. They are the keys of the state, so a stream that is resumed has to have as many.
 BUCKETS = 512
+#: Answers to cancel requests, by number.
+ANSWERS, NOT_FOUND = ("not_found", "already_completed", "cancelling"), 0
+ANSWER = "request_id long, run_id long, answer string"
 RUN = "key long, run_id long, started_ms long, ended_ms long, n_events long, status string, steps string, over_cap boolean"
 MESSAGE = "thread_id long, message_id string, position long, seq long, role string, content string"
 
@@ -77,6 +81,54 @@ class Runs:
             yield _table(closed, RUN)
 
 
+class Answers:
+    """Answers to the requests of a bucket of runs, once the watermark has passed them.
+
+    Rows of both streams are (run, at in microseconds, id, code): a request's code is below 0 and tells what is null in it, a run's is
+    the number of its answer. Those that wait, and the runs within the horizon, are one array of numbers in the state: a row of it
+    costs 32 bytes, where a join's state keeps two entries with their keys."""
+
+    STATE = "rows binary"
+
+    def __init__(self, horizon: str):
+        self.horizon = pd.Timedelta(horizon) // pd.Timedelta(microseconds=1)
+
+    def __call__(self, bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = [p[["run", "at", "id", "code"]].to_numpy("int64") for p in rows]
+        if state.exists:
+            parts.append(np.frombuffer(state.get[0], "int64").reshape(-1, 4))
+        both, now = np.concatenate(parts), state.getCurrentWatermarkMs() * 1000
+        asks = both[:, 3] < 0
+        due = both[asks & (both[:, 1] <= now)]
+        if len(due):
+            yield self.answered(due, both[~asks])
+        left = both[np.where(asks, both[:, 1] > now, both[:, 1] > now - self.horizon)]
+        if len(left):
+            waiting = left[left[:, 3] < 0, 1]
+            until = waiting.min() if len(waiting) else left[:, 1].max() + self.horizon
+            state.update((left.tobytes(),))
+            state.setTimeoutTimestamp(max(int(until) // 1000, now // 1000, 1))
+        elif state.exists:
+            state.remove()
+
+    def answered(self, due: np.ndarray, known: np.ndarray) -> pd.DataFrame:
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        first, last = (np.searchsorted(known[:, 0], due[:, 0], side) for side in ("left", "right"))
+        gaps = -1 - due[:, 3]
+        n = np.where(gaps & 1, 0, last - first)  # a request without a run meets none
+        ask = np.repeat(np.arange(len(due)), n)
+        run = np.arange(len(ask)) - np.repeat(np.cumsum(n) - n, n) + first[ask]
+        ago = due[ask, 1] - known[run, 1]
+        met = (ago >= 0) & (ago <= self.horizon)
+        ask, run = ask[met], run[met]
+        alone = np.setdiff1d(np.arange(len(due)), ask)
+        ask, code = np.concatenate([ask, alone]), np.concatenate([known[run, 3], np.full(len(alone), NOT_FOUND)])
+        ids = [pd.array(due[ask, c], "Int64") for c in (2, 0)]
+        for values, bit in zip(ids, (2, 1), strict=True):
+            values[(gaps[ask] & bit) > 0] = pd.NA
+        return pd.DataFrame({"request_id": ids[0], "run_id": ids[1], "answer": np.array(ANSWERS, object)[code]})
+
+
 class Threads(StatefulProcessor):
     """Messages of a thread by id: the last one (by seq) counts, at the place of the first. A message that isn't written for ttl_ms is forgotten."""
 
@@ -155,9 +207,15 @@ def cancel_answers(requests: DataFrame, runs: DataFrame, requests_delay_ms: int,
 
     A run is known from its ts on, for as long as the horizon. An answer comes when the watermark, the earlier of both streams',
     has passed its request; a request that arrives behind the watermark is late and gets none, and so does a run's state.
-    A run with several states in the horizon answers once for each."""
+    A run with several states in the horizon answers once for each. Rows without a time have no place in either stream."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     asked = requests.withWatermark("asked_at", f"{requests_delay_ms} milliseconds")
-    known = runs.select(F.col("run_id").alias("of"), "ts", "status").withWatermark("ts", f"{runs_delay_ms} milliseconds")
-    there = F.expr(f"run_id = of AND ts <= asked_at AND ts >= asked_at - INTERVAL {horizon}")
-    answer = F.when(F.col("status").isNull(), "not_found").when(F.col("status").isin(*ENDS), "already_completed").otherwise("cancelling")
-    return asked.join(known, there, "left_outer").select("request_id", "run_id", answer.alias("answer"))
+    known = runs.withWatermark("ts", f"{runs_delay_ms} milliseconds")
+    # nulls are told by the code, so the other columns are whole numbers in pandas too
+    gaps = F.when(F.col("request_id").isNull(), F.lit(2)).otherwise(0) + F.when(F.col("run_id").isNull(), F.lit(1)).otherwise(0)
+    code = F.when(F.col("status").isNull(), NOT_FOUND).when(F.col("status").isin(*ENDS), ANSWERS.index("already_completed")).otherwise(ANSWERS.index("cancelling"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    left = asked.filter("asked_at is not null").select(F.col("asked_at").alias("ts"), number("run_id").alias("run"), number("request_id").alias("id"), (-1 - gaps).cast("long").alias("code"))
+    right = known.filter("ts is not null and run_id is not null").select("ts", F.col("run_id").cast("long").alias("run"), F.lit(0).cast("long").alias("id"), code.cast("long").alias("code"))
+    both = left.unionByName(right).withColumns({"at": F.unix_micros("ts"), "bucket": F.pmod(F.xxhash64("run"), F.lit(BUCKETS))})
+    return both.groupBy("bucket").applyInPandasWithState(Answers(horizon), ANSWER, Answers.STATE, "append", "EventTimeTimeout")

@@ -1,6 +1,10 @@
 """Keyed state, stream joins, the log and publishing: restarts, late rows, timers, damage."""
 
+import random
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +117,30 @@ def test_cancel_requests_meet_runs(few, tmp_path):
     assert {(r["request_id"], r["answer"]) for r in log.read().collect()} == want  # a late request has no answer
 
 
+def test_replayed_requests_take_few_batches_whatever_the_files(few, data, tmp_path, monkeypatch):
+    spark = few
+    change = {name: spark.read.parquet(f"{data}/{name}.parquet") for name in ("events", "orders")}
+    con, batches, restore = _in_many_files(spark, data, tmp_path, change, monkeypatch)
+    try:
+        assert _same(streams.cancel_stream, spark, con, tmp_path, "cancel_stream")
+    finally:
+        restore()
+    assert len(set(batches)) < 15
+
+
+def test_answers_equal_a_join(spark):
+    """Several states of a run, each at or beyond the horizon's ends, and requests without an id or a run."""
+    deal, seven = random.Random(5), 7 * 86_400_000_000
+    known = [(deal.randrange(6), deal.choice((0, 1, seven, seven + 1, deal.randrange(2 * seven))), 0, deal.randrange(3)) for _ in range(60)]
+    due = [(deal.randrange(8), deal.choice((0, seven, seven + 1, deal.randrange(2 * seven))), k, deal.choice((-1, -1, -2, -3, -4))) for k in range(60)]
+    want = []
+    for run, at, k, code in due:
+        met = [c for r, t, _, c in known if r == run and 0 <= at - t <= seven and code in (-1, -3)]
+        want += [(None if code in (-3, -4) else k, None if code in (-2, -4) else run, S.ANSWERS[c]) for c in met or [0]]
+    got = S.Answers("7 days").answered(np.array(due), np.array(known))
+    assert sorted(map(repr, want)) == sorted(repr((None if pd.isna(a) else int(a), None if pd.isna(b) else int(b), c)) for a, b, c in got.itertuples(index=False))
+
+
 def test_log_of_a_killed_run_holds_every_row_once(spark, tmp_path):
     schema = "event_id long, event_type string"
     for k in range(3):
