@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,39 +26,59 @@ def _inner_words(needle: Column) -> Column:
     return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def _words(paras: DataFrame) -> DataFrame:
-    return paras.select("doc_id", "para_idx", F.explode(F.split("text", " ")).alias("word"))
+def _places(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(doc, seq, para_idx, start, chars) of hits among rows (doc, kind, number, text) that are sorted: a document's paragraphs as they
+    are preferred (kinds 0 and 1), then its needles (2). A needle is looked for in the paragraphs with the rarest word inside it only."""
+    for doc, group in groupby(rows, key=itemgetter(0)):
+        paras, needles = [], []
+        for _, kind, number, text in group:
+            (needles if kind == 2 else paras).append((number, text))
+        if not needles or not paras:
+            continue
+        inner = {needle: needle.split(" ")[1:-1] for _, needle in needles}
+        wanted, having = {w for words in inner.values() for w in words}, {}
+        for k, (_, text) in enumerate(paras):
+            for w in wanted.intersection(text.split(" ")):
+                having.setdefault(w, []).append(k)
+
+        def first(words: list[str], needle: str) -> int | None:
+            near = min((having.get(w, []) for w in words), key=len) if words else range(len(paras))
+            return next((k for k in near if needle in paras[k][1]), None)
+
+        at = {needle: first(words, needle) for needle, words in inner.items()}
+        best: dict = {}
+        for seq, needle in needles:
+            if (k := at[needle]) is not None and k < best.get(seq, (len(paras),))[0]:
+                best[seq] = (k, needle)
+        for seq, (k, needle) in best.items():
+            number, text = paras[k]
+            yield doc, seq, number, text.index(needle), len(text)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
 def anchor_hits(anchors: DataFrame, paras: DataFrame) -> DataFrame:
     """First paragraph of the anchor's document that contains the first characters of the anchor, lines of a table of contents last.
 
-    anchors: (doc_id, seq, anchor_text), read more than once. How often each word stands in its document is counted; a needle's
-    candidates are the paragraphs with the rarest of the words inside it. A word that stands once gives its paragraph with the
-    count; for the others the words are gone through again. Words are known by a hash with their document: two that share one
-    only give more candidates, all of which are compared. Anchors without a word inside meet every paragraph of their document."""
+    anchors: (doc_id, seq, anchor_text). Paragraphs and needles are dealt together by document, once, and a task goes through its
+    documents one after another, so words are counted where their text is and never travel. Anchors without a word inside are
+    looked for in every paragraph of their document."""
+    kinds = {**dict(paras.dtypes), "seq": dict(anchors.dtypes)["seq"]}
     needle = F.substring(T.strip(F.col("anchor_text")), 1, NEEDLE)
-    wanted = anchors.select("doc_id", "seq", needle.alias("needle")).filter("needle <> ''").withColumn("words", _inner_words(F.col("needle")))
-    known_by = F.xxhash64("doc_id", "word").alias("gram")
-    words = _words(paras).select("doc_id", "para_idx", known_by)
-    grams = wanted.select("doc_id", "seq", "needle", F.size("words").alias("n"), F.explode("words").alias("word")).select("doc_id", "seq", "needle", "n", known_by)
-    # hash joins on the needles' side: the words, far more, need no sorting
-    counts = words.join(grams.select("gram").distinct().hint("shuffle_hash"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"), F.min("para_idx").alias("para_idx"))
-    rarest = counts.join(grams.hint("shuffle_hash"), "gram").groupBy("doc_id", "seq", "needle", "n").agg(F.min(F.struct("often", "gram", "para_idx")).alias("r"), F.count("*").alias("met"))
-    keyed = written(rarest.filter("met = n").select("doc_id", "seq", "needle", "r.*"), "keys")  # a word that stands nowhere settles it
-    once = keyed.filter("often = 1").select("doc_id", "seq", "needle", "para_idx")
-    again = keyed.filter("often > 1").select("doc_id", "seq", "needle", "gram")
-    near = once.unionByName(again.join(words.join(_small(again.select("doc_id", "gram").distinct()), ["doc_id", "gram"]).distinct(), ["doc_id", "gram"]).drop("gram"))
-    texts = paras.select("doc_id", "para_idx", "text")
-    bare = wanted.filter(F.size("words") == 0).select("doc_id", "seq", "needle").join(texts, "doc_id")
-    hit = near.join(texts, ["doc_id", "para_idx"]).unionByName(bare).filter(F.contains("text", "needle"))
-    order = F.struct(T.is_contents_line(F.col("text")).cast("int"), "para_idx")
-    place = F.struct(F.col("para_idx").alias("hit_para"), (F.instr("text", F.col("needle")) - 1).cast("long").alias("start"), F.length("text").cast("long").alias("para_chars"))
-    return hit.groupBy("doc_id", "seq").agg(F.min_by(place, order).alias("p")).select("doc_id", "seq", "p.*")
+    wanted = anchors.select(F.col("doc_id").cast(kinds["doc_id"]).alias("doc_id"), F.lit(2).alias("kind"), F.col("seq").cast("long").alias("number"), needle.alias("text")).filter("text <> ''")
+    lines = paras.select("doc_id", F.coalesce(T.is_contents_line(F.col("text")).cast("int"), F.lit(0)).alias("kind"), F.col("para_idx").cast("long").alias("number"), "text")
+    dealt = lines.unionByName(wanted).filter("doc_id is not null and text is not null").repartition("doc_id").sortWithinPartitions("doc_id", "kind", "number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _places(_rows_of(batches))
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], names=["doc_id", "seq", "hit_para", "start", "para_chars"])
+
+    hits = dealt.mapInArrow(run, f"doc_id {kinds['doc_id']}, seq long, hit_para long, start long, para_chars long")
+    return hits.select("doc_id", F.col("seq").cast(kinds["seq"]).alias("seq"), F.col("hit_para").cast(kinds["para_idx"]).alias("hit_para"), "start", "para_chars")
 
 
 def anchor_spans(hits: DataFrame) -> DataFrame:

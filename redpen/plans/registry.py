@@ -15,7 +15,6 @@ from redpen.operators import locate as L
 from redpen.operators import rank as R
 from redpen.operators import report as P
 from redpen.schema import EVIDENCE
-from redpen.sources.store import written
 from redpen.sources.tables import listing_page, paragraphs, table, with_offsets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,7 +242,7 @@ _HITS = f""", anchors AS (SELECT doc_id, seq, anchor_text, para_idx FROM grouped
 
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    return written(_issues(spark, d).select("doc_id", "seq", "anchor_text"), "anchors")
+    return _issues(spark, d).select("doc_id", "seq", "anchor_text")
 
 
 @query(ALL + _HITS + " SELECT doc_id, seq, hit_para, start, start AS span_start, least(start + 30, para_chars) AS span_end FROM hits")

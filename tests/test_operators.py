@@ -1,5 +1,8 @@
 """Worked examples of single operators."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from redpen.functions import text as T
@@ -86,6 +89,25 @@ def test_anchor_prefers_body_and_never_falls_to_index(spark):
     assert got == {1: (9, "anchor"), 2: (0, "fallback"), 3: (9, "index"), 4: (2, "anchor")}
 
 
+def test_anchors_are_found_in_one_deal_of_the_texts(spark):
+    """Against brute force: repeated and cut words, contents lines, needles without an inner word, documents without paragraphs; and words are never shuffled."""
+    deal = random.Random(3)
+    say = lambda n: " ".join(deal.choice(("a", "ab", "abc", "b", "", "ba 12", "文字")) for _ in range(n))
+    paras = [(d, 2 * k, say(deal.randrange(9))) for d in range(40) for k in range(deal.randrange(1, 15))]
+    told = [(d, k, deal.choice((say(deal.randrange(6)), deal.choice(paras)[2][deal.randrange(4):][:50]))) for d in range(42) for k in range(12)] + [(None, 1, "a"), (3, 99, None)]
+    want = set()
+    for d, seq, anchor in told:
+        needle = (anchor or "").strip(" ")[:30]
+        hit = [(bool(re.search(r"\d{1,4}\s*$", t.strip(" "))) and len(t) <= 100 and len(t.strip(" ")) < 80, p, t) for e, p, t in paras if d == e and needle and needle in t]
+        if hit:
+            _, p, t = min(hit)
+            want.add((d, seq, p, t.index(needle), len(t)))
+    lines = spark.createDataFrame(paras, "doc_id long, para_idx long, text string").repartition(5)
+    hits = locate.anchor_hits(spark.createDataFrame(told, "doc_id long, seq long, anchor_text string"), lines)
+    assert {tuple(r) for r in hits.collect()} == want and len(want) > 50
+    assert len(re.findall(r"Exchange hashpartitioning|BroadcastExchange", hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])) <= 1
+
+
 def test_first_hits_without_an_inner_word(spark):
     paras = spark.createDataFrame([(1, 0, "nothing"), (1, 1, "前文目标文字后文"), (2, 0, "see http://a.example/long/path here"), (3, 0, "one two three four")], "doc_id long, para_idx long, text string")
     items = spark.createDataFrame([(1, "目标文字"), (2, "http://a.example/long"), (3, "one two three"), (4, "absent"), (5, "  "), (6, None)], "item_id long, text string")
